@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskwright.session import stage
+
 BLOCK = 100_000
 
 
@@ -52,7 +54,8 @@ def resolve_spans(spans: DataFrame, priority: list[Column] | None = None, doc: s
     columns = [c for c in spans.columns if c not in (doc, "start", "end")]
     ranks = [c.alias(f"_p{i}") for i, c in enumerate(priority or by_confidence())]
     ranked = spans.select(doc, "start", "end", F.struct(*ranks, *[F.col(c) for c in columns]).alias("_s"))
-    distinct = ranked.groupBy(doc, "start", "end").agg(F.min("_s").alias("_s"))
+    # used several times below, so it is written once
+    distinct = stage(ranked.groupBy(doc, "start", "end").agg(F.min("_s").alias("_s")), "positions")
     grouped = (
         islands(distinct, doc, block)
         .groupBy(doc, "island")

@@ -64,7 +64,7 @@ def _union(parts: list[str]) -> str:
 
 
 def _cued(before: str, cues) -> str:
-    return f"len(list_filter([{qs(cues)}], lambda w: contains({before}, w))) > 0"
+    return f"len(list_filter([{qs(cues)}], lambda cue_word: contains({before}, cue_word))) > 0"
 
 
 def bsn(v: str) -> str:

@@ -3,6 +3,7 @@ result as SQL where it can be stated."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,8 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import fixed
 from maskwright.functions.detectors import bsn_valid, custom
-from maskwright.functions.spans import SPANS
 from maskwright.functions.strategies import Strategy, decrypt, encrypt, get_strategy
-from maskwright.functions.text import join_broken_names, normalise
+from maskwright.functions.text import normalise
 from maskwright.operators import decode as dec
 from maskwright.operators import external as ext
 from maskwright.operators import mapping as maps
@@ -42,6 +42,10 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def _run_folder(spark: SparkSession, name: str) -> str:
+    return f"{staging_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 SPAN_COLUMNS = ["doc_id", "start", "end", "text", "category", "confidence"]
 MAPPING_COLUMNS = ["scope", "placeholder", "category", "num", "norm", "canonical", "variations", "occurrences"]
 
@@ -510,10 +514,9 @@ def encode_with_legend(spark, sf):
        + "select r.doc_id, r.text, (select count(*) from mapping) as entities from rewritten r")
 def write_and_read_back(spark, sf):
     done = encode(corpora.notes(spark, sf))
-    out = stage(done.text.limit(0), "out").inputFiles() or None  # a fresh folder name
-    base = f"{staging_dir(spark)}/written-{spark.sparkContext.applicationId}-{id(done)}"
-    files.write_texts(done.text, f"{base}/texts", "overwrite")
-    files.write_mapping_json(done.mapping, f"{base}/mapping", "", "overwrite")
+    base = _run_folder(spark, "written")
+    files.write_texts(done.text, f"{base}/texts")
+    files.write_mapping_json(done.mapping, f"{base}/mapping", "")
     entities = files.read_mapping_json(spark, f"{base}/mapping").agg(F.count("*").alias("entities"))
     return spark.read.schema("doc_id bigint, text string").parquet(f"{base}/texts").join(F.broadcast(entities))  # one row
 
@@ -546,9 +549,9 @@ def decode_corpus(spark, sf):
 @query("decode_from_files", o.with_(*_decoded_sql()) + "select doc_id, text from decoded")
 def decode_from_files(spark, sf):
     done = encode(corpora.notes(spark, sf))
-    base = f"{staging_dir(spark)}/decode-{spark.sparkContext.applicationId}-{id(done)}"
-    files.write_texts(done.text, f"{base}/texts", "overwrite")
-    files.write_mapping_json(done.mapping, f"{base}/mapping", "", "overwrite")
+    base = _run_folder(spark, "decode")
+    files.write_texts(done.text, f"{base}/texts")
+    files.write_mapping_json(done.mapping, f"{base}/mapping", "")
     return dec.decode(files.read_documents(spark, f"{base}/texts"), files.read_mapping_json(spark, f"{base}/mapping"))
 
 
@@ -600,11 +603,6 @@ def report_dry_run(spark, sf):
     return rep.dry_run(encode(corpora.notes(spark, sf)).mapping)
 
 
-_PART_TEXTS = [
-    _ASSEMBLED.replace("ocr_text end as text from page_text", "ocr_text end as text from page_text"),
-]
-
-
 @query("convert_and_sanitise")
 def convert_and_sanitise(spark, sf):
     """Pages to parts to sanitised parts, one mapping for all of them, legend on top."""
@@ -624,11 +622,6 @@ def _note_stream(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_orderkey").alias("doc_id"), F.expr(corpora.NOTE).alias("text"))
 
 
-def _run_folder(spark: SparkSession, name: str) -> str:
-    import uuid
-    return f"{staging_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query("stream_redact", ORACLE["encode_redact"])
 def stream_redact(spark, sf):
     base = _run_folder(spark, "stream-redact")
