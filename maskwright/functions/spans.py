@@ -142,7 +142,6 @@ def find_terms(text: str, terms: Iterable[str]) -> str:
     words = alternation(terms)
     heads = "".join(sorted({t[0] for t in terms}))
     # the class of first characters rejects most word edges at once
-    spot = lit(u(rf"\b(?=[{heads}])(?=(?:{words})\b)", ignore_case=True))
     word = lit(u(rf"\b(?=[{heads}])(?=({words})\b)", ignore_case=True))
     # A match at position 0 leaves no piece in front of it.
     first = f"case when size(pieces) = size(found) then array(0) else {empty('array<int>')} end"
@@ -155,6 +154,10 @@ def find_terms(text: str, terms: Iterable[str]) -> str:
         f"zip_with({starts}, found, (s, w) -> struct(s as start, s + length(w) as end, w as text, "
         "cast(null as string) as grp, 0 as nr))"
     )
+    # the words found here suffice to find their places again, and they make a
+    # far smaller pattern than the whole list
+    here = f"array_join(transform(array_distinct(found), w -> concat({lit(chr(92) + 'Q')}, w, {lit(chr(92) + 'E')})), '|')"
+    spot = f"concat({lit(u(rf'{chr(92)}b(?=(?:', ignore_case=True))}, {here}, {lit(rf'){chr(92)}b)')})"
     located = let("pieces", f"split({text}, {spot}, -1)", hits)
     return let(
         "found", f"regexp_extract_all({text}, {word}, 1)",
