@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import ship
-from .texts import Words, slices, sums
+from .texts import BASE, Words, mix, slices, sums
 
 #: (bytes of text up to, lowest ratio, highest ratio) of whole texts; short texts carry more of the frame's overhead.
 WHOLE_BANDS = ((512, 1.15, 3.0), (2048, 1.3, 3.5), (8192, 1.45, 4.0), (65536, 1.5, 4.5), (1 << 62, 1.5, 5.5))
@@ -45,14 +45,11 @@ def _repeated_words(words: Words) -> np.ndarray:
     """Per text: words in a three-word window that is found twice or more in the text."""
     marks = np.zeros(len(words.start), bool)
     shingle, at = words.shingles(3)
-    if len(at):
-        key = np.stack([words.text_of[at].astype(np.uint64), shingle])
-        order = np.lexsort((key[1], key[0]))
-        same = (key[:, order][:, 1:] == key[:, order][:, :-1]).all(axis=0)
-        again = np.zeros(len(order), bool)
-        again[1:] |= same
-        again[:-1] |= same
-        hit = at[order[again]]
+    key = mix(shingle + words.text_of[at].astype(np.uint64) * np.uint64(BASE))
+    ordered = np.sort(key)
+    again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if len(again):
+        hit = at[np.isin(key, again)]
         for i in range(3):
             marks[hit + i] = True
     return sums(marks, words.first)
@@ -62,15 +59,11 @@ def _measure(texts: pa.Array, rules: Rules) -> dict[str, np.ndarray]:
     words = Words(texts, lower=False)
     data, offsets = words.data, words.offsets
     n = len(offsets) - 1
-    inside = np.zeros(len(data) + 1, np.int8)
-    np.add.at(inside, words.start, 1)
-    np.add.at(inside, words.end, -1)
-    inside = np.cumsum(inside[:-1]).astype(bool)
     symbol = np.zeros(256, bool)
     symbol[np.frombuffer(SYMBOLS[1:-1].encode(), np.uint8)] = True
     out = {
         "n_words": words.counts.astype(np.int64),
-        "word_chars": sums(inside & ((data & 0xC0) != 0x80), offsets),
+        "word_chars": sums(words.inside & ((data & 0xC0) != 0x80), offsets),
         "n_symbols": sums(symbol[data], offsets),
         "n_repeat_words": _repeated_words(words),
     }

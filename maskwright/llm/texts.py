@@ -90,7 +90,7 @@ PUNCTUATION = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 class Words:
     """Words of the texts of one slice.
 
-    start, end: byte positions; first[i]..first[i + 1]: the words of text i; hash: 64 bits by content.
+    inside: is the byte part of a word; start, end: byte positions; first[i]..first[i + 1]: the words of text i; hash: 64 bits by content.
     """
 
     def __init__(self, column: pa.Array, delimiters: str = SPACES, lower: bool = True):
@@ -98,7 +98,7 @@ class Words:
         data, self.offsets = raw(column)
         self.data = to[data] if lower else data
         n = len(data)
-        inside = part[data]
+        inside = self.inside = part[data]
         before = np.zeros(n, bool)
         before[1:] = inside[:-1]
         edges = self.offsets[self.offsets < n]
