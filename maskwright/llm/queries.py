@@ -11,6 +11,7 @@ from .contamination import contamination
 from .line_dedup import drop_lines
 from .near_duplicates import near_duplicates
 from .quality import quality
+from .repeats import remove_repeats
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +76,37 @@ FROM d JOIN least_ USING (doc_id) LEFT JOIN sizes USING (doc_id)
 """
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+REPEATS_SQL = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), windows AS (
+  SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS s FROM d, unnest(range(0, len(h) // 2 - 99)) u(p)
+), ranked AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1 AS again FROM windows
+), hits AS (
+  SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, true) AS head FROM ranked WHERE again
+), islands AS (
+  SELECT doc_id, p, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM hits
+), spans AS (
+  SELECT doc_id, g, min(p) AS a, max(p) + 100 AS b FROM islands GROUP BY ALL
+), gaps AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans
+), found AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last_,
+         string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last_, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN found USING (doc_id)
+"""
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     ids = F.array_join("item_ids", ",").cast("binary")
@@ -114,11 +146,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_near_duplicates": op6_near_duplicates,
+    "op9_repeated_passages": op9_repeated_passages,
     "op10_decontamination": op10_decontamination,
 }
 
 ORACLE: dict[str, str] = {
     "op1_line_dedup": LINE_DEDUP_SQL,
     "op6_near_duplicates": NEAR_DUPLICATES_SQL,
+    "op9_repeated_passages": REPEATS_SQL,
     "op10_decontamination": DECONTAMINATION_SQL,
 }
