@@ -12,6 +12,7 @@ from .line_dedup import drop_lines
 from .near_duplicates import near_duplicates
 from .quality import quality
 from .repeats import remove_repeats
+from .token_files import encode_to_files, read_back
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +77,18 @@ FROM d JOIN least_ USING (doc_id) LEFT JOIN sizes USING (doc_id)
 """
 
 
+def _tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, files = encode_to_files(
+        _read(spark, sf_dir, "documents"), _tokenizer_file("word_bpe_49k.json"), end_id=1)
+    return read_back(documents, files)
+
+
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -146,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_near_duplicates": op6_near_duplicates,
+    "op8_token_files": op8_token_files,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_decontamination": op10_decontamination,
 }
