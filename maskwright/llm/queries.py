@@ -13,6 +13,7 @@ from .near_duplicates import near_duplicates
 from .quality import quality
 from .repeats import remove_repeats
 from .token_files import encode_to_files, read_back
+from .warc import read_archives, write_archives
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,24 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = read_archives(write_archives(_read(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), firsts AS (
+  SELECT payload_digest, min(page_id) AS first_page FROM p WHERE payload_bytes >= 100 GROUP BY ALL
+)
+SELECT page_id, payload_bytes, p.payload_digest,
+       CASE WHEN page_id > first_page THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first_page THEN first_page END AS refers_to
+FROM p LEFT JOIN firsts f ON p.payload_digest = f.payload_digest
+"""
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_read(spark, sf_dir, "documents"))
 
@@ -157,6 +176,7 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op4_warc": op4_warc,
     "op5_quality_rules": op5_quality_rules,
     "op6_near_duplicates": op6_near_duplicates,
     "op8_token_files": op8_token_files,
@@ -166,6 +186,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op1_line_dedup": LINE_DEDUP_SQL,
+    "op4_warc": WARC_SQL,
     "op6_near_duplicates": NEAR_DUPLICATES_SQL,
     "op9_repeated_passages": REPEATS_SQL,
     "op10_decontamination": DECONTAMINATION_SQL,
