@@ -84,10 +84,10 @@ def keep_bitmaps(
 
 def drop_lines(
     docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text",
-    counts: bool = False,
+    counts: bool = False, length_col: str | None = None,
 ) -> DataFrame:
-    """docs with the text rid of its dropped lines; with `counts`, also n_lines and n_dropped (names of the caller's
-    columns come first, so pick others there)."""
+    """docs with the text rid of its dropped lines; a column `length_col` gets the new text's length where lines went;
+    with `counts`, also n_lines and n_dropped (for docs without columns of these names)."""
     bitmaps = keep_bitmaps(docs, min_chars, min_docs, id_col, text_col).select(
         F.col("doc_id").alias("__b_doc"), F.col("text_key").alias("__b_key"), F.col("n_dropped").alias("__b_n"),
         F.col("bitmap").alias("__b_map"))
@@ -101,7 +101,11 @@ def drop_lines(
         " & 1L) = 0L), '\\n')")
     out = both.withColumn("__lines", lines).withColumn("__dense", F.coalesce(dense, F.array().cast("array<bigint>")))
     text = F.when(F.col("__b_n").isNull(), docs[text_col]).otherwise(kept)
-    columns = [text.alias(c) if c == text_col else docs[c] for c in docs.columns]
+    changed = {text_col: text}
+    if length_col in docs.columns:
+        changed[length_col] = F.when(F.col("__b_n").isNull(), docs[length_col]).otherwise(
+            F.length(kept).cast(docs.schema[length_col].dataType))
+    columns = [changed.get(c, docs[c]).alias(c) for c in docs.columns]
     if counts:
         columns += [F.size("__lines").cast("long").alias("n_lines"), F.coalesce("__b_n", F.lit(0)).cast("long").alias("n_dropped")]
     return out.select(*columns)

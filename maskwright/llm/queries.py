@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .contamination import contamination
 from .line_dedup import drop_lines
 from .near_duplicates import near_duplicates
+from .pieces import encode_samples
 from .quality import quality
 from .repeats import remove_repeats
 from .token_files import encode_to_files, read_back
@@ -43,6 +44,17 @@ FROM marked GROUP BY doc_id
 """
 
 
+def tokenizer_file(name: str) -> str:
+    """Path of a public tokenizer's file, the same on every executor."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_samples(_read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), k=2)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = read_archives(write_archives(_read(spark, sf_dir, "pages")))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -96,15 +108,9 @@ FROM d JOIN least_ USING (doc_id) LEFT JOIN sizes USING (doc_id)
 """
 
 
-def _tokenizer_file(name: str) -> str:
-    import public_tokenizers
-
-    return str(public_tokenizers.path(name))
-
-
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, files = encode_to_files(
-        _read(spark, sf_dir, "documents"), _tokenizer_file("word_bpe_49k.json"), end_id=1)
+        _read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
     return read_back(documents, files)
 
 
@@ -176,6 +182,7 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_warc": op4_warc,
     "op5_quality_rules": op5_quality_rules,
     "op6_near_duplicates": op6_near_duplicates,
