@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .contamination import contamination
+from .gated_model import score_documents
 from .line_dedup import drop_lines
 from .near_duplicates import near_duplicates
 from .pieces import encode_samples
@@ -108,6 +109,10 @@ FROM d JOIN least_ USING (doc_id) LEFT JOIN sizes USING (doc_id)
 """
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_read(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, files = encode_to_files(
         _read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
@@ -186,6 +191,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_quality_rules": op5_quality_rules,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_language_model": op7_language_model,
     "op8_token_files": op8_token_files,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_decontamination": op10_decontamination,
