@@ -11,6 +11,7 @@ from .contamination import contamination
 from .gated_model import score_documents
 from .line_dedup import drop_lines
 from .near_duplicates import near_duplicates
+from .perspectives import perspectives
 from .pieces import encode_samples
 from .quality import quality
 from .repeats import remove_repeats
@@ -45,6 +46,29 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op2_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks = F.expr("array_join(transform(masks, x -> concat(x.start, '-', x.stop)), ',')")
+    return perspectives(_read(spark, sf_dir, "conversations")).withColumn("masks", masks)
+
+
+PERSPECTIVES_SQL = r"""
+WITH t AS (
+  SELECT conv_id, replace(coalesce(role, 'unknown'), '<|', '< |') AS name, replace(coalesce(text, ''), '<|', '< |') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS nr FROM conversations
+), views AS (
+  SELECT t.*, p.participant, nr // 64 AS part, t.name = participant AS mine,
+         '<|' || CASE WHEN t.name = 'system' THEN t.name WHEN t.name = participant THEN 'assistant' ELSE 'user:' || t.name END
+         || '|>' || chr(10) AS head
+  FROM t JOIN (SELECT DISTINCT conv_id, name AS participant FROM t WHERE name <> 'system') p ON t.conv_id = p.conv_id
+), placed AS (
+  SELECT *, sum(length(head) + length(text) + 8) OVER (PARTITION BY conv_id, participant, part ORDER BY nr) AS stop FROM views
+)
+SELECT conv_id, participant, part, count(*) AS n_messages, string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY nr) AS text,
+       coalesce(string_agg((stop - 8 - length(text))::BIGINT::VARCHAR || '-' || (stop - 1)::BIGINT::VARCHAR, ',' ORDER BY nr) FILTER (mine), '') AS masks
+FROM placed GROUP BY conv_id, participant, part
+"""
+
+
 def tokenizer_file(name: str) -> str:
     """Path of a public tokenizer's file, the same on every executor."""
     import public_tokenizers
@@ -187,6 +211,7 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_perspectives": op2_perspectives,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_warc": op4_warc,
     "op5_quality_rules": op5_quality_rules,
@@ -199,6 +224,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op1_line_dedup": LINE_DEDUP_SQL,
+    "op2_perspectives": PERSPECTIVES_SQL,
     "op4_warc": WARC_SQL,
     "op6_near_duplicates": NEAR_DUPLICATES_SQL,
     "op9_repeated_passages": REPEATS_SQL,
