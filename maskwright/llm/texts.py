@@ -93,7 +93,8 @@ class Words:
     inside: is the byte part of a word; start, end: byte positions; first[i]..first[i + 1]: the words of text i; hash: 64 bits by content.
     """
 
-    def __init__(self, column: pa.Array, delimiters: str = SPACES, lower: bool = True):
+    def __init__(self, column: pa.Array, delimiters: str = SPACES, lower: bool = True, kinds: np.ndarray | None = None):
+        """kinds: by byte; a word also ends where a non-zero kind meets another non-zero kind."""
         part, to = table(delimiters, lower)
         data, self.offsets = raw(column)
         self.data = to[data] if lower else data
@@ -106,6 +107,11 @@ class Words:
         after = np.zeros(n, bool)
         after[:-1] = inside[1:]
         after[edges[edges > 0] - 1] = False
+        if kinds is not None:
+            kind = kinds[data]
+            turn = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0))
+            before[turn + 1] = False
+            after[turn] = False
         self.start = np.flatnonzero(inside & ~before)
         self.end = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.start, self.offsets)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .cluster import shared_folder, ship, staged
 from .files import opened, task_file
-from .texts import U64
+from .texts import U64, Words, raw, slices, sums
 
 MAGIC = b"SWORDS1\n"
 BLOCK_IDS = 1 << 12
@@ -186,47 +186,45 @@ class TokenFile:
         self._in.close()
 
 
-_tokenizers: dict[str, object] = {}
+_tokenizers: dict[str, tuple[object, dict[int, bytes]]] = {}
 #: Pieces that a worker remembers; beyond that it starts anew.
-REMEMBERED = 500_000
-_ASCII_LOW = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-
-
-def _parts(piece: str) -> tuple[str, ...]:
-    """A piece as what its tokens never cross: a word and the punctuation behind it, in lower case where that is safe."""
-    if "<|" in piece:  # may be a special token
-        return (piece,)
-    piece = piece.lower() if piece.isascii() else piece.encode().translate(_ASCII_LOW).decode()
-    word = piece.rstrip(".,;:!?")
-    return (word, piece[len(word):]) if word != piece and word[-1:].isascii() and word[-1:].isalnum() else (piece,)
+REMEMBERED = 700_000
+#: ASCII letters and digits are 1, punctuation but the apostrophe and what special tokens begin and end with is 2.
+_KINDS = np.array([1 if chr(b).isalnum() else 2 if chr(b) in "!\"#$%&()*+,-./:;=?@[\\]^_`{}~" else 0 for b in range(128)] + [0] * 128)
 
 
 def _pieces(path: str):
-    """texts -> ids, by pieces between blanks and line feeds, each of which the tokenizer encodes once.
+    """A slice's texts -> (ids of all, number of ids of each), by pieces that the tokenizer encodes once each.
 
-    Right for tokenizers that lower their input, drop white space and join nothing across it or between a letter and
-    punctuation that is no apostrophe; other white space stays inside its piece.
+    Pieces end at blanks and line feeds and between ASCII letters or digits and punctuation. Right for tokenizers that
+    lower their input, drop white space and join nothing across those places; other white space stays in its piece.
     """
     if path not in _tokenizers:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {}, {})
-    tokenizer, known, parts_known = _tokenizers[path]
+        _tokenizers[path] = (Tokenizer.from_file(path), {})
+    tokenizer, known = _tokenizers[path]
 
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        # Lower case could make a special token of what is none.
+        plain = b"<|" not in raw(texts)[0].tobytes()
+        words = Words(texts, " \n", lower=plain, kinds=_KINDS)
+        pieces, where, each = np.unique(words.hashes(), return_index=True, return_inverse=True)
         if len(known) > REMEMBERED:
             known.clear()
-        if len(parts_known) > REMEMBERED:
-            parts_known.clear()
-        new = {p: _parts(p) for pieces in split for p in pieces if p not in known}
-        ask = list({part for parts in new.values() for part in parts if part not in parts_known})
-        for part, got in zip(ask, tokenizer.encode_batch(ask, add_special_tokens=False), strict=True):
-            parts_known[part] = np.array(got.ids, "<u4").tobytes()
-        for piece, parts in new.items():
-            known[piece] = parts_known[parts[0]] if len(parts) == 1 else b"".join([parts_known[x] for x in parts])
-        return [np.frombuffer(b"".join([known[p] for p in pieces]), "<u4") for pieces in split]
+        keys = pieces.tolist() if plain else [(h,) for h in pieces.tolist()]
+        new = [i for i, h in enumerate(keys) if h not in known]
+        ask = [words.bytes_of(i).decode() for i in where[new].tolist()]
+        for i, got in zip(new, tokenizer.encode_batch(ask, add_special_tokens=False), strict=True):
+            known[keys[i]] = np.array(got.ids, "<u4").tobytes()
+        found = [known[h] for h in keys]
+        ids = np.frombuffer(b"".join(found), "<u4")
+        size = np.array([len(f) // 4 for f in found], np.int64)
+        begin = np.cumsum(size) - size
+        n = size[each]
+        at = np.repeat(begin[each] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return ids[at], sums(n, words.first)
 
     return encode
 
@@ -254,16 +252,15 @@ def encode_to_files(
         def ids() -> Iterator[np.ndarray]:
             nonlocal at
             for batch in batches:
-                for start in range(0, batch.num_rows, 256):
-                    some = batch.slice(start, 256)
-                    found = [np.append(x, np.uint32(end_id)) for x in encode([t or "" for t in some.column("text").to_pylist()])]
-                    n = np.array([len(x) for x in found], np.int64)
+                for some in slices(batch, "text"):
+                    ids, n = encode(some.column("text"))
+                    ends = np.cumsum(n)
                     rows.append(pa.RecordBatch.from_arrays(
-                        [some.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(at + np.cumsum(n) - n),
-                         pa.array(n), pa.nulls(len(n), pa.string()), pa.nulls(len(n), pa.int64())],
-                        names=names))
-                    at += int(n.sum())
-                    yield np.concatenate(found)
+                        [some.column("doc_id"), pa.array(np.full(len(n), part, np.int32)),
+                         pa.array(at + ends - n + np.arange(len(n))), pa.array(n + 1), pa.nulls(len(n), pa.string()),
+                         pa.nulls(len(n), pa.int64())], names=names))
+                    at += int(ends[-1]) + len(n)
+                    yield np.insert(ids, ends, np.uint32(end_id))
 
         names = ["doc_id", "part", "at", "n_tokens", "uri", "bytes"]
         total, size = write_file(uri, ids())
