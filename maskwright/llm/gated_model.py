@@ -11,8 +11,8 @@ in lanes that carry the state across windows and start each document anew; the w
 tree. Output biases start at the log counts, so the model starts as a unigram model. Scoring carries the state through
 whole documents in the same way.
 
-What grows with the corpus stays in Spark: counts are pre-aggregated in each task, shuffled by word, and joined back to
-each chunk of documents by (chunk, word). The driver sees the head words, sums by band and one set of weights.
+What grows with the corpus stays in Spark: counts are pre-aggregated in each chunk of documents, sent packed to the
+bucket of their words' hashes, added up there, and joined back by (chunk, bucket). The driver sees the head words, sums by band and one set of weights.
 
 Defined cases: null text is empty, its one token is the end; a null doc_id belongs to the training documents; rows with
 one doc_id are scored each; without training documents base_score is 0 for every text and the model is uniform; an empty
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import ship, staged
+from .cluster import ship, shuffle_partitions, staged
 from .texts import U64, Words, slices
 
 HEAD_CLASSES, CLASS_WORDS = 32, 32
@@ -43,7 +43,9 @@ BEGIN = SYMBOLS
 CLASSES = HEAD_CLASSES + BANDS
 #: Hash of the end of a text; no word has it but by chance.
 END = 0x1E3779B97F4A7C15
-CHUNK_TOKENS = 500_000
+CHUNK_TOKENS = 2_000_000
+#: Tokens that lie side by side in lanes; many, so that a long document is a small part of them.
+LAID_TOKENS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -71,23 +73,33 @@ def _band(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(np.maximum(counts, 1).astype(np.float64))[1] - 1, BANDS - 1)
 
 
-# Chunks of documents: tokens as numbers local to the chunk, and the hash behind each number.
+# Chunks of documents: tokens as numbers local to the chunk, and the hash behind each number. Local numbers follow the
+# hashes, and buckets are ranges of hashes, so a chunk's counts are its buckets' counts one after the other.
 
 
-def _chunks(docs: DataFrame) -> DataFrame:
-    def chunk(number: int, held: list) -> pa.RecordBatch:
-        hashes = np.concatenate([h for h, _, _, _ in held])
-        types, local = np.unique(hashes, return_inverse=True)
+def _chunks(docs: DataFrame, buckets: int) -> DataFrame:
+    """Rows of two kinds: a chunk's documents (bucket -1), and its words of one bucket with their training counts."""
+    names = ["chunk", "bucket", "doc_ids", "held_out", "sizes", "tokens", "types", "seen"]
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(),
+             pa.binary()]
+
+    def rows(*values) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
+
+    def chunk(number: int, held: list) -> Iterator[pa.RecordBatch]:
+        types, local = np.unique(np.concatenate([h for h, _, _, _ in held]), return_inverse=True)
         sizes = np.concatenate([n for _, n, _, _ in held])
-        training = np.repeat(~np.concatenate([x for _, _, _, x in held]), sizes)
-        seen = np.bincount(local[training], minlength=len(types))
-        ids = [i for _, _, d, _ in held for i in d]
         out = np.concatenate([x for _, _, _, x in held])
-        return pa.RecordBatch.from_arrays([
-            pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([out.tolist()]),
-            pa.array([sizes.tolist()], pa.list_(pa.int64())), pa.array([_planes(local.astype("<u4"))], pa.binary()),
-            pa.array([types.view(np.int64).tolist()], pa.list_(pa.int64())), pa.array([seen.tolist()], pa.list_(pa.int64())),
-        ], names=["chunk", "doc_ids", "held_out", "sizes", "tokens", "types", "seen"])
+        seen = np.bincount(local[np.repeat(~out, sizes)], minlength=len(types)).astype("<u4")
+        ids = [i for _, _, d, _ in held for i in d]
+        yield rows([number], [-1], [ids], [out.tolist()], [sizes.tolist()], [_planes(local.astype("<u4"))], [None], [None])
+        bucket = ((types >> U64(33)) * U64(buckets) >> U64(31)).astype(np.int64)
+        cut = np.flatnonzero(np.r_[True, np.diff(bucket) > 0])
+        stop = np.r_[cut[1:], len(types)]
+        n = len(cut)
+        yield rows([number] * n, bucket[cut].tolist(), [None] * n, [None] * n, [None] * n, [None] * n,
+                   [types[i:j].tobytes() for i, j in zip(cut, stop, strict=True)],
+                   [_planes(seen[i:j]) for i, j in zip(cut, stop, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -106,47 +118,83 @@ def _chunks(docs: DataFrame) -> DataFrame:
                              part.column("held_out").to_numpy(zero_copy_only=False)))
                 total += len(hashes)
                 if total >= CHUNK_TOKENS:
-                    yield chunk(number, held)
+                    yield from chunk(number, held)
                     number, held, total = number + 1, [], 0
         if held:
-            yield chunk(number, held)
+            yield from chunk(number, held)
 
     return docs.mapInArrow(
-        run, "chunk long, doc_ids array<long>, held_out array<boolean>, sizes array<long>, tokens binary, "
-             "types array<long>, seen array<long>")
-
-
-def _symbols(chunks: DataFrame, counts: DataFrame, head: np.ndarray, share: np.ndarray, total: int, types: int) -> DataFrame:
-    """Chunks with symbols for tokens, and for each document base score, known tokens and log shares in bands."""
-    rows = chunks.select("chunk", F.posexplode("types").alias("local", "token"))
-    found = rows.join(counts, "token", "left").select("chunk", "local", "token", F.coalesce("count", F.lit(0)).alias("count"))
+        run, "chunk long, bucket int, doc_ids array<long>, held_out array<boolean>, sizes array<long>, tokens binary, "
+             "types binary, seen binary")
+
+
+def _counted(chunks: DataFrame) -> DataFrame:
+    """Counts over all training documents, by bucket: rows (chunk, bucket, counts) for each chunk's words, and one row
+    (chunk null) with what the bucket's words add up to in bands, and its most frequent words."""
+
+    def by_bucket(table: pa.Table) -> pa.Table:
+        types = [np.frombuffer(x.as_buffer(), U64) for x in table.column("types")]
+        seen = np.concatenate([_unplanes(x.as_py(), "<u4") for x in table.column("seen")])
+        words, each = np.unique(np.concatenate(types), return_inverse=True)
+        count = np.bincount(each, seen, len(words)).astype(np.int64)
+        back = np.split(count[each], np.cumsum([len(t) for t in types])[:-1])
+        known = count > 0
+        band = _band(count[known])
+        top = np.argsort(-count, kind="stable")[:HEAD]
+        top = top[count[top] > 0]
+        n = len(back)
+        return pa.table({
+            "chunk": pa.array([*table.column("chunk").to_pylist(), None], pa.int64()),
+            "bucket": pa.array([*table.column("bucket").to_pylist(), None], pa.int32()),
+            "counts": pa.array([*(_planes(x.astype("<u8")) for x in back), None], pa.binary()),
+            "n": pa.array([None] * n + [np.bincount(band, minlength=BANDS).tolist()], pa.list_(pa.int64())),
+            "c": pa.array([None] * n + [np.bincount(band, count[known], BANDS).astype(np.int64).tolist()], pa.list_(pa.int64())),
+            "head": pa.array([None] * n + [[{"token": int(t), "count": int(k)} for t, k in zip(
+                words[top].view(np.int64), count[top], strict=True)]], pa.list_(pa.struct([("token", pa.int64()), ("count", pa.int64())]))),
+        })
+
+    return chunks.where("bucket >= 0").select("chunk", "bucket", "types", "seen").groupBy("bucket").applyInArrow(
+        by_bucket, "chunk long, bucket int, counts binary, n array<long>, c array<long>, head array<struct<token: long, count: long>>")
+
+
+def _symbols(chunks: DataFrame, counted: DataFrame, head: np.ndarray, share: np.ndarray, total: int, types: int) -> DataFrame:
+    """Chunks with symbols for tokens, and for each document base score, known tokens and log shares in bands.
+
+    head: the frequent words' hashes, by symbol.
+    """
+    words = chunks.where("bucket >= 0").select("chunk", "bucket", "types")
+    joined = words.join(counted.where("chunk is not null").select("chunk", "bucket", "counts"), ["chunk", "bucket"])
     order = np.argsort(head)
     ordered = head[order]
 
-    def by_chunk(table: pa.Table) -> pa.Table:
-        local, token, count = (table.column(c).to_numpy() for c in ("local", "token", "count"))
-        out = np.zeros(len(local), np.int64)
-        symbol = HEAD + _band(count)
-        if len(ordered):
-            at = np.minimum(np.searchsorted(ordered, token), len(ordered) - 1)
-            symbol = np.where(ordered[at] == token, order[at], symbol)
-        symbols = np.zeros(len(local), "<u2")
-        out[local], symbols[local] = count, symbol
-        return pa.table({"chunk": table.column("chunk")[:1], "counts": pa.array([out.tobytes()], pa.binary()),
-                         "by_type": pa.array([symbols.tobytes()], pa.binary())})
+    def with_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for types_, counts in zip(batch.column("types"), batch.column("counts"), strict=True):
+                token, count = np.frombuffer(types_.as_buffer(), np.int64), _unplanes(counts.as_py(), "<u8").astype(np.int64)
+                symbol = HEAD + _band(count)
+                if len(ordered):
+                    at = np.minimum(np.searchsorted(ordered, token), len(ordered) - 1)
+                    symbol = np.where(ordered[at] == token, order[at], symbol)
+                out.append(_planes(symbol.astype("<u2")))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("chunk"), batch.column("bucket"), batch.column("counts"), pa.array(out, pa.binary())],
+                names=["chunk", "bucket", "counts", "by_type"])
 
-    of_chunk = found.groupBy("chunk").applyInArrow(by_chunk, "chunk long, counts binary, by_type binary")
+    of_chunk = joined.mapInArrow(with_symbols, "chunk long, bucket int, counts binary, by_type binary").groupBy("chunk").agg(
+        F.sort_array(F.collect_list(F.struct("bucket", "counts", "by_type"))).alias("words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 local = _unplanes(row["tokens"], "<u4")
-                count = np.frombuffer(row["counts"], np.int64)
-                symbol = np.frombuffer(row["by_type"], "<u2")
+                count = np.concatenate([_unplanes(w["counts"], "<u8") for w in row["words"]]).astype(np.int64)
+                symbol = np.concatenate([_unplanes(w["by_type"], "<u2") for w in row["words"]])
                 sizes = np.array(row["sizes"])
                 starts = np.cumsum(sizes) - sizes
                 base = np.log10((count + 1) / (total + types + 1))
-                band = np.where(symbol >= HEAD, symbol - HEAD, 0)
+                band = np.where(symbol >= HEAD, symbol.astype(np.int64) - HEAD, 0)
                 inner = np.where(symbol >= HEAD, np.log10((count + 1) * share[band]), 0.0)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([row["doc_ids"]], pa.list_(pa.int64())), pa.array([row["held_out"]], pa.list_(pa.bool_())),
@@ -156,7 +204,8 @@ def _symbols(chunks: DataFrame, counts: DataFrame, head: np.ndarray, share: np.n
                     pa.array([np.add.reduceat(inner[local], starts).tolist()])], names=names)
 
     names = ["doc_ids", "held_out", "sizes", "symbols", "base", "known", "inner"]
-    return chunks.join(of_chunk, "chunk").select("doc_ids", "held_out", "sizes", "tokens", "counts", "by_type").mapInArrow(
+    documents = chunks.where("bucket < 0").select("chunk", "doc_ids", "held_out", "sizes", "tokens")
+    return documents.join(of_chunk, "chunk").select("doc_ids", "held_out", "sizes", "tokens", "words").mapInArrow(
         run, "doc_ids array<long>, held_out array<boolean>, sizes array<long>, symbols binary, base array<double>, "
              "known array<long>, inner array<double>")
 
@@ -403,24 +452,24 @@ def score_documents(
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == held_fold, F.lit(False))
     wanted = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    chunks = staged(_chunks(wanted), "chunks")
-    pairs = chunks.select(F.explode(F.arrays_zip("types", "seen")).alias("p"))
-    counts = staged(
-        pairs.groupBy(F.col("p.types").alias("token")).agg(F.sum("p.seen").alias("count")).where("count > 0"), "counts")
-    total, types = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    head = counts.orderBy(F.desc("count"), "token").limit(HEAD).toPandas()
-    band = F.least(F.floor(F.log2("count")), F.lit(BANDS - 1)).cast("int")
-    rest = counts.join(F.broadcast(spark.createDataFrame(head[["token"]], "token long")), "token", "left_anti") if len(
-        head) else counts  # at most HEAD words
-    sums = rest.groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.sum("count").alias("c")).collect()
-    weight, mass = np.zeros(BANDS), np.zeros(BANDS)
-    for row in sums:
-        weight[row["band"]], mass[row["band"]] = row["n"] + row["c"], row["c"]
+    chunks = staged(_chunks(wanted, 4 * shuffle_partitions(spark)), "chunks")
+    counted = staged(_counted(chunks), "counts")
+    head = counted.select(F.explode("head").alias("h")).select("h.token", "h.count").orderBy(
+        F.desc("count"), "token").limit(HEAD).toPandas()
+    pairs = counted.where("chunk is null").select(F.posexplode(F.arrays_zip("n", "c")).alias("band", "x"))
+    n, c = np.zeros(BANDS), np.zeros(BANDS)
+    for row in pairs.groupBy("band").agg(F.sum("x.n").alias("n"), F.sum("x.c").alias("c")).collect():
+        n[row["band"]], c[row["band"]] = row["n"], row["c"]
+    total, types = int(c.sum()), int(n.sum())
+    head_count = head["count"].to_numpy(np.int64)
+    n -= np.bincount(_band(head_count), minlength=BANDS)
+    c -= np.bincount(_band(head_count), head_count, BANDS)
+    weight = n + c
     weight[0] = max(weight[0] * 1.5, 1.0)  # next to each word seen once (weight 2) an unseen one (weight 1)
     share = 1 / np.maximum(weight, 1.0)
-    ready = staged(_symbols(chunks, counts, head["token"].to_numpy(np.int64), share, total, types), "symbols")
+    ready = staged(_symbols(chunks, counted, head["token"].to_numpy(np.int64), share, total, types), "symbols")
     model = Model(settings)
-    model.start_at(head["count"].to_numpy(np.float64), mass)
+    model.start_at(head_count, c)
     flat = model.flat
     for round_ in range(settings.rounds):
         learned = _average(staged(_round(ready, settings, flat, round_), "weights"))
@@ -428,8 +477,25 @@ def score_documents(
     return _scored(ready, settings, flat, int(total))
 
 
-def _read_chunk(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    return _unplanes(row["symbols"], "<u2").astype(np.int32), np.array(row["sizes"], np.int64)
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows of chunks put together up to LAID_TOKENS."""
+
+    def together(rows: list[dict]) -> dict:
+        out = {c: np.concatenate([np.array(r[c]) for r in rows]) for c in rows[0] if c not in ("symbols", "doc_ids")}
+        out["symbols"] = np.concatenate([_unplanes(r["symbols"], "<u2").astype(np.int32) for r in rows])
+        out["doc_ids"] = [i for r in rows for i in r.get("doc_ids", ())]
+        return out
+
+    held, total = [], 0
+    for batch in batches:
+        for i in range(batch.num_rows):
+            held.append(batch.slice(i, 1).to_pylist()[0])
+            total += sum(held[-1]["sizes"])
+            if total >= LAID_TOKENS:
+                yield together(held)
+                held, total = [], 0
+    if held:
+        yield together(held)
 
 
 def _round(ready: DataFrame, settings: Settings, flat: np.ndarray, round_: int) -> DataFrame:
@@ -439,11 +505,9 @@ def _round(ready: DataFrame, settings: Settings, flat: np.ndarray, round_: int)
         from pyspark import TaskContext
 
         def chunks():
-            for batch in batches:
-                for row in batch.to_pylist():
-                    symbols, sizes = _read_chunk(row)
-                    chosen = np.flatnonzero(~np.array(row["held_out"], bool))
-                    yield symbols, sizes, chosen[round_::settings.rounds]
+            for row in _gathered(batches):
+                chosen = np.flatnonzero(~row["held_out"].astype(bool))
+                yield row["symbols"], row["sizes"], chosen[round_::settings.rounds]
 
         model = Model(settings, shared.value)
         tokens = train(model, settings, chunks())
@@ -460,14 +524,12 @@ def _scored(ready: DataFrame, settings: Settings, flat: np.ndarray, total: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(settings, shared.value)
-        for batch in batches:
-            for row in batch.to_pylist():
-                symbols, sizes = _read_chunk(row)
-                score = log_likelihood(model, settings, symbols, sizes) / np.log(10) + np.array(row["inner"])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(row["doc_ids"], pa.int64()), pa.array(row["held_out"]), pa.array(sizes),
-                    pa.array(row["known"], pa.int64()), pa.array(np.full(len(sizes), total)), pa.array(row["base"]),
-                    pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for row in _gathered(batches):
+            score = log_likelihood(model, settings, row["symbols"], row["sizes"]) / np.log(10) + row["inner"]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(row["doc_ids"], pa.int64()), pa.array(row["held_out"].astype(bool)), pa.array(row["sizes"]),
+                pa.array(row["known"]), pa.array(np.full(len(score), total)), pa.array(row["base"]), pa.array(score),
+            ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return ready.mapInArrow(
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
