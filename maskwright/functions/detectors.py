@@ -65,18 +65,21 @@ def roads(text: str) -> str:
     return _all(text, [fixed.ROAD], "ROAD", 0.95, "road", 20, 20)
 
 
-def _runs(unit: str) -> str:
-    """``(?:unit)*`` without deep recursion: blocks of 40 are committed while 12
-    more units follow, so only the last 52 can be given back."""
-    return rf"(?:(?:{unit}){{40}}(?=(?:{unit}){{12}}))*+(?:{unit}){{0,52}}"
+# ``[A-Z][a-zé-]+(?:\s+[A-Z][a-zé-]+)*\b`` recurses once per word in Java.  The
+# same match without recursion: words that are followed by white space end at
+# a word edge if they have a letter after the capital, so each of them is
+# committed as long as another word that can end the match comes after it.
+_HEAD, _ENDING = r"[A-Z][a-zé-]+", r"\s+[A-Z][a-zé-]+\b"
+_ENDLESS = r"(?:\s+[A-Z]-++(?=\s))*+"
+_COMMITTED = rf"(?:{_ENDLESS}\s+[A-Z]-*+[a-zé][a-zé-]*+(?=\s)(?={_ENDLESS}{_ENDING}))*+"
+_WORDS = rf"(?:{_HEAD}+{_COMMITTED}{_ENDLESS}{_ENDING}|{_HEAD}\b)"
 
 
 def addresses(text: str) -> str:
-    word, hyphened = r"\s+[A-Z][a-zé-]+", r"-[A-Z][a-zé-]+"
-    patterns = [
-        p.replace(f"(?:{word})*", _runs(word)).replace(f"(?:{hyphened})*", _runs(hyphened))
-        for p in fixed.ADDRESSES
-    ]
+    # After ``[a-zé-]+`` a hyphen and capital can only follow where the match
+    # has ended at a word edge before, so hyphenated parts add nothing.
+    hyphened = r"(?:-[A-Z][a-zé-]+)*"
+    patterns = [p.replace(_HEAD + r"(?:\s+[A-Z][a-zé-]+)*\b", _WORDS).replace(hyphened, "") for p in fixed.ADDRESSES]
     keep = r"not contains(x.text, '\n')"
     return _gate(_matches(text, DIGIT), _all(text, patterns, "ADDRESS", 0.85, "address", 30, 20, keep))
 
@@ -275,10 +278,12 @@ def names_before_dates(text: str) -> str:
 # of them; otherwise the cue sits inside the run, at a word that contains it.
 _CAPS_CUE = r"(?:[-–]\s*\d{1,2}[-/\.]|Nationaliteit|PERSON_|geboren)"
 _WORD = r"[A-Z][a-z]+"
-_PLAIN = rf"(?:\s+(?!Nationaliteit|{_WORD}geboren){_WORD})*+"
+_CUE_WORD = rf"(?:Nationaliteit|{_WORD}geboren)"
+_PLAIN = rf"(?:\s+(?!{_CUE_WORD}){_WORD})*+"
+# Words with a cue are committed while another one follows in the run.
 _CAPS_NAME = u(
     rf"\b([A-Z]{{3,}}(?:(?:\s+{_WORD})*+(?=\s*{_CAPS_CUE})"
-    rf"|{_PLAIN}(?:\s+{_WORD}{_PLAIN}){{0,40}}(?:\s+{_WORD}(?=geboren))?))\s*{_CAPS_CUE}"
+    rf"|{_PLAIN}(?:\s+{_WORD}+{_PLAIN}(?=\s+{_CUE_WORD}))*+(?:\s+{_WORD}(?=geboren))?))\s*{_CAPS_CUE}"
 )
 _CAPS_GATE = r"[-–]\s*+\d|Nationaliteit|PERSON_|geboren"
 

@@ -125,10 +125,12 @@ def encode(docs: DataFrame, mapping: DataFrame | None = None, strategy: str | St
            entities: DataFrame | None = None, include_org: bool = False, doc: str = "doc_id", **options) -> Encoded:
     """Sanitise documents and build (or extend) the mapping.
 
-    Document scope and built-in non-placeholder strategies rewrite each row in
-    place.  Corpus placeholders are looked up by key and joined to the text.
+    Document scope rewrites each row in place.  Otherwise the text is prepared
+    and searched once, and the values of the spans are joined to it.
     """
     chosen = get_strategy(strategy, **options)
+    if scope == maps.DOCUMENT and mapping is not None:
+        raise ValueError("a mapping can only be carried on with scope='corpus'")
     if scope == maps.DOCUMENT and chosen.name == "replace" and entities is None:
         encoded = encode_each(docs.withColumnRenamed(doc, "doc_id"), profile, skip_masked)
         return Encoded(encoded.select("doc_id", "text"), entries_table(encoded))
@@ -153,6 +155,4 @@ def encode(docs: DataFrame, mapping: DataFrame | None = None, strategy: str | St
         valued = spans.withColumn("value", chosen.column(F.col("text"), F.col("category")))
     else:
         valued = spans.withColumn("value", F.expr(chosen.sql("text", "category")))
-    if chosen.sql is not None and entities is None:
-        return Encoded(sanitise(prepared, chosen, profile, skip_masked), table)
     return Encoded(replace_spans(prepared, valued), table)
