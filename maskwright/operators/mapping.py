@@ -129,51 +129,67 @@ def show(mapping: DataFrame) -> DataFrame:
 
 # --- mapping files -----------------------------------------------------------
 
+ENTRY_SCHEMA = "scope bigint, placeholder string, canonical string, variations array<string>, occurrences bigint"
+HEADER_SCHEMA = "scope bigint, version string, created string, statistics map<string,int>"
 FILE_SCHEMA = (
     "version string, created string, statistics map<string,int>, "
     "mappings map<string,struct<canonical:string,variations:array<string>,occurrences:bigint>>"
 )
 
 
+def entries(mapping: DataFrame) -> DataFrame:
+    """What a mapping file says of each placeholder: one row, one line of JSON."""
+    return mapping.select("scope", "placeholder", "canonical", "variations", "occurrences")
+
+
+def headers(mapping: DataFrame, created: str) -> DataFrame:
+    """Version, date and the highest number of each category, one row per scope."""
+    numbers = mapping.groupBy("scope", "category").agg(F.max("num").alias("top"))
+    return numbers.groupBy("scope").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "top")))).alias("statistics")  # by category
+    ).select("scope", F.lit(fixed.MAPPING_VERSION).alias("version"), F.lit(created).alias("created"), "statistics")
+
+
+def from_entries(rows: DataFrame, order: str = "placeholder") -> DataFrame:
+    """Mapping rows from the entries of mapping files.
+
+    The key is rebuilt from the main form alone.  If two placeholders share it,
+    the one that is later by ``order`` owns it and the other only serves decoding.
+    """
+    keyed = rows.withColumn("category", F.expr(category_of("placeholder"))).withColumn(
+        "norm", F.expr(normalise("canonical", "category")))
+    owners = keyed.groupBy(F.col("scope").alias("o_scope"), F.col("norm").alias("o_norm")).agg(F.max(order).alias("o_last"))
+    owned = keyed.join(owners, F.expr("scope <=> o_scope and norm <=> o_norm"), "left")
+    return owned.select(
+        "scope", "placeholder", "category",
+        F.expr(f"cast(regexp_extract(placeholder, {lit(r'_(\d+)$')}, 1) as int)").alias("num"),
+        F.when(F.col(order) == F.col("o_last"), F.col("norm")).alias("norm"),
+        "canonical",
+        F.coalesce("variations", F.array("canonical")).alias("variations"),
+        F.coalesce("occurrences", F.lit(1).cast("bigint")).alias("occurrences"),
+    )
+
+
 def to_json(mapping: DataFrame, created: str) -> DataFrame:
-    """One JSON document per scope, in the layout of a mapping file.
+    """One JSON document per scope, in the layout of a single mapping file.
 
-    A single JSON value is by nature one row; corpora keep the table form.
+    Such a document is one value by nature; it is meant for the mapping of one
+    document.  Corpora are written as lines (``sources.files``).
     """
     entry = F.struct("canonical", "variations", "occurrences")
-    numbers = mapping.groupBy("scope", "category").agg(F.max("num").alias("top"))
-    statistics = numbers.groupBy("scope").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "top")))).alias("statistics"))
-    entries = mapping.groupBy("scope").agg(
+    listed = mapping.groupBy("scope").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("placeholder"), entry.alias("entry"))))).alias("mappings"))
-    return entries.join(statistics, "scope").select(
-        "scope",
-        F.to_json(F.struct(F.lit(fixed.MAPPING_VERSION).alias("version"), F.lit(created).alias("created"),
-                           "statistics", "mappings")).alias("json"),
-    )
+    return listed.join(headers(mapping, created), "scope").select(
+        "scope", F.to_json(F.struct("version", "created", "statistics", "mappings")).alias("json"))
 
 
 def from_json(files: DataFrame, json: str = "json", scope: str = "scope") -> DataFrame:
-    """Mapping rows from mapping files.
-
-    The key is rebuilt from the main form alone.  If two placeholders share it,
-    the later one owns it and the earlier one only serves decoding.
-    """
+    """Mapping rows from JSON documents; within one, later entries own a shared key."""
     rows = (
         files.select(F.col(scope).cast("bigint").alias("scope"), F.from_json(json, FILE_SCHEMA).alias("f"))
         .select("scope", F.posexplode_outer(F.map_entries("f.mappings")).alias("pos", "e"))
         .where(F.col("e").isNotNull())
         .select("scope", "pos", F.col("e.key").alias("placeholder"), F.col("e.value.canonical").alias("canonical"),
                 F.col("e.value.variations").alias("variations"), F.col("e.value.occurrences").alias("occurrences"))
-        .withColumn("category", F.expr(category_of("placeholder")))
-        .withColumn("norm", F.expr(normalise("canonical", "category")))
-    )
-    owner = F.row_number().over(Window.partitionBy("scope", "norm").orderBy(F.desc("pos"))) == 1
-    return rows.select(
-        "scope", "placeholder", "category",
-        F.expr(f"cast(regexp_extract(placeholder, {lit(r'_(\d+)$')}, 1) as int)").alias("num"),
-        F.when(owner, F.col("norm")).alias("norm"),
-        "canonical",
-        F.coalesce("variations", F.array("canonical")).alias("variations"),
-        F.coalesce("occurrences", F.lit(1).cast("bigint")).alias("occurrences"),
     )
+    return from_entries(rows, "pos")

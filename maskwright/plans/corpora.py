@@ -70,10 +70,10 @@ NOTE = (
 )
 NOTES_SQL = f"select o_orderkey as doc_id, {NOTE} as text from orders join customer on o_custkey = c_custkey"
 
-# Pages of a scan: some with hardly any native text.
+# Pages of a scan: some with hardly any native text where the OCR text is whole.
 PAGES_SQL = (
     "select conv_id as doc_id, cast(turn + 1 as int) as page_no, "
-    "case when turn % 3 = 0 then substr(text, 1, 30) when turn % 3 = 1 then text else concat(chr(10), substr(text, 1, 5), '  ') end as native_text, "
+    "case when turn % 4 = 3 then text when turn % 3 = 0 then substr(text, 1, 30) when turn % 3 = 1 then text else concat(chr(10), substr(text, 1, 5), '  ') end as native_text, "
     "case when turn % 4 = 3 then '' else concat(' ', text) end as ocr_text from conversations"
 )
 
@@ -105,7 +105,7 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("doc_id"),
         (F.col("turn") + 1).cast("int").alias("page_no"),
-        F.expr("case when turn % 3 = 0 then substr(text, 1, 30) when turn % 3 = 1 then text "
+        F.expr("case when turn % 4 = 3 then text when turn % 3 = 0 then substr(text, 1, 30) when turn % 3 = 1 then text "
                "else concat(chr(10), substr(text, 1, 5), '  ') end").alias("native_text"),
         F.expr("case when turn % 4 = 3 then '' else concat(' ', text) end").alias("ocr_text"),
     )

@@ -22,6 +22,7 @@ from maskwright.operators.detect import detect, detect_all, detect_raw
 from maskwright.operators.resolve import resolve_spans
 from maskwright.operators.rewrite import encode, encode_each, entries_table, kept_spans, prepare, replace_spans, sanitise
 from maskwright.plans import corpora
+from maskwright.operators.convert import convert
 from maskwright.plans import oracle as o
 from maskwright.session import stage, staging_dir
 from maskwright.sources import files
@@ -61,12 +62,6 @@ def source_documents(spark, sf):
     return rep.text_sizes(files.read_documents(spark, f"{sf}/documents.parquet"))
 
 
-@query("source_file_inventory")
-def source_file_inventory(spark, sf):
-    return files.inventory(spark, f"{sf}/*.parquet").select(
-        F.element_at(F.split("path", "/"), -1).alias("name"), "size_mb")
-
-
 _TRIM = lambda c: rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
 _CHOSEN = o.PAGES + f""", chosen as materialized (select doc_id, page_no, coalesce(length({_TRIM('native_text')}) < 50 and ocr_text <> ''
   and length({_TRIM('ocr_text')}) > length({_TRIM('native_text')}), false) as from_ocr,
@@ -362,21 +357,22 @@ def mapping_per_document_in_row(spark, sf):
 @query("mapping_export", o.with_(*o.encoding(), o.mapping()) + """select placeholder, canonical, variations, occurrences,
   cast(max(num) over (partition by category) as int) as counter, '1.0' as version from mapping""")
 def mapping_export(spark, sf):
-    json = maps.to_json(maps.build_mapping(_spans(spark, sf)), created="")
-    parsed = json.select(F.from_json("json", maps.FILE_SCHEMA).alias("f")).select(
-        "f.version", "f.statistics", F.explode_outer(F.map_entries("f.mappings")).alias("e"))
-    return parsed.select(
-        F.col("e.key").alias("placeholder"), F.col("e.value.canonical").alias("canonical"),
-        F.array_join("e.value.variations", "|").alias("variations"), F.col("e.value.occurrences").alias("occurrences"),
-        F.expr("element_at(statistics, regexp_extract(e.key, '^(.*)_', 1))").alias("counter"), "version")
+    base = _run_folder(spark, "export")
+    files.write_mapping_json(stage(maps.build_mapping(_spans(spark, sf)), "mapping"), base, created="")
+    lines = spark.read.schema(maps.ENTRY_SCHEMA).json(f"{base}/entries")
+    counters = files.read_mapping_headers(spark, base).select("scope", "version", F.explode("statistics").alias("kind", "counter"))
+    return lines.withColumn("kind", F.expr("regexp_extract(placeholder, '^(.*)_', 1)")).join(
+        F.broadcast(counters), ["scope", "kind"]).select(  # one row per category
+        "placeholder", "canonical", F.array_join("variations", "|").alias("variations"), "occurrences", "counter", "version")
 
 
 @query("mapping_import", o.with_(*o.encoding(), o.mapping()) + f"""select placeholder, category, num,
   case when row_number() over (partition by n2 order by placeholder desc) = 1 then n2 end as norm, canonical, occurrences
   from (select *, {o.norm('canonical', 'category')} as n2 from mapping)""")
 def mapping_import(spark, sf):
-    json = stage(maps.to_json(maps.build_mapping(_spans(spark, sf)), created=""), "mapping-json")
-    return maps.from_json(json).select("placeholder", "category", "num", "norm", "canonical", "occurrences")
+    base = _run_folder(spark, "import")
+    files.write_mapping_json(stage(maps.build_mapping(_spans(spark, sf)), "mapping"), base, created="")
+    return files.read_mapping_json(spark, base).select("placeholder", "category", "num", "norm", "canonical", "occurrences")
 
 
 @query("mapping_extend", o.with_(*o.encoding(), o.mapping()) + _MAP)
@@ -503,6 +499,18 @@ def strategy_keeps_mapping(spark, sf):
     return flat_mapping(encode(corpora.notes(spark, sf), strategy="redact").mapping)
 
 
+def _encoded_text(name: str, value: str, **options) -> None:
+    @query(f"encode_text_{name}", o.with_(*o.encoding(), o.rewritten(
+        f"select doc_id, s, e, {value} as value from kept", "prepared")) + _REWRITTEN)
+    def run(spark, sf):
+        return encode(corpora.notes(spark, sf), strategy=name, **options).text
+
+
+_encoded_text("redact", "'[' || category || ']'")
+_encoded_text("mask", o.mask())
+_encoded_text("hash", "substr(sha256('pepper' || v || category), 1, 16)", salt="pepper")
+
+
 @query("encode_with_legend", o.with_(*o.encoding(), o.mapping(), o.rewritten(o.valued(), "prepared"), f"legend as ({o.legend()})")
        + "select r.doc_id, l.legend || r.text as text from rewritten r cross join legend l")
 def encode_with_legend(spark, sf):
@@ -603,13 +611,23 @@ def report_dry_run(spark, sf):
     return rep.dry_run(encode(corpora.notes(spark, sf)).mapping)
 
 
-@query("convert_and_sanitise")
+# ASCII text only: the SQL engine's word edges are.
+_ASCII = "[^\\x00-\\x7F]"
+_PLAIN_PAGES = f"""page_text as (select doc_id, page_no, regexp_replace(native_text, '{_ASCII}', '_', 'g') as native_text,
+  regexp_replace(ocr_text, '{_ASCII}', '_', 'g') as ocr_text from ({corpora.PAGES_SQL}))"""
+
+
+@query("convert_and_sanitise", "with " + _PLAIN_PAGES + _ASSEMBLED.removeprefix(o.PAGES) + f""", parts as materialized (
+  select doc_id as d, cast(nr // 2 + 1 as int) as part, string_agg(p, chr(10) || chr(10) order by nr) as text,
+  row_number() over (order by doc_id, nr // 2) as doc_id from ({_PIECES}) group by d, nr // 2), """ + o.with_(
+    o.prepared(source="parts"), o.raw("prepared"), o.resolved(), o.kept(), o.mapping(), o.rewritten(o.valued(), "prepared"),
+    f"legend as ({o.legend()})").removeprefix("with ")
+    + """select p.d as doc_id, p.part, coalesce(l.legend, '') || r.text as text
+  from rewritten r join parts p on r.doc_id = p.doc_id left join legend l on true""")
 def convert_and_sanitise(spark, sf):
     """Pages to parts to sanitised parts, one mapping for all of them, legend on top."""
-    assembled = pg.assemble(pg.choose_text(corpora.page_text(spark, sf)))
-    parts = pg.split_parts(assembled, max_pages=2)
-    done = encode(parts.select((F.col("doc_id") * 100_000 + F.col("part")).alias("doc_id"), "text"))
-    return rep.with_legend(done.text, done.mapping)
+    plain = {c: F.regexp_replace(c, r"[^\x00-\x7F]", "_") for c in ("native_text", "ocr_text")}
+    return convert(corpora.page_text(spark, sf).withColumns(plain), max_pages=2).text
 
 
 # --- streams -----------------------------------------------------------------

@@ -46,5 +46,5 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     during the regex work; an input with enough splits is left as it is.
     """
     wanted = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
-    return df if files >= wanted else df.repartition(4 * wanted, F.col(key))
+    splits = df.rdd.getNumPartitions()
+    return df if splits >= wanted else df.repartition(4 * wanted, F.col(key))

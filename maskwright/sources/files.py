@@ -58,14 +58,19 @@ def write_mapping(mapping: DataFrame, path: str, mode: str = "errorifexists") ->
 
 
 def write_mapping_json(mapping: DataFrame, path: str, created: str, mode: str = "errorifexists") -> None:
-    """Mapping files, one line of JSON per scope."""
-    maps.to_json(mapping, created).select("json").withColumnRenamed("json", "value").write.mode(mode).text(path)
+    """A mapping as JSON lines in as many files as it has partitions: one line
+    per placeholder below ``entries``, one per scope below ``headers``."""
+    maps.entries(mapping).write.mode(mode).json(f"{path}/entries")
+    maps.headers(mapping, created).write.mode(mode).json(f"{path}/headers")
 
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(maps.SCHEMA).parquet(path)
 
 
-def read_mapping_json(spark: SparkSession, path: str, scope: int = 0) -> DataFrame:
-    files = spark.read.text(path, wholetext=True).select(F.lit(scope).alias("scope"), F.col("value").alias("json"))
-    return maps.from_json(files)
+def read_mapping_json(spark: SparkSession, path: str) -> DataFrame:
+    return maps.from_entries(spark.read.schema(maps.ENTRY_SCHEMA).json(f"{path}/entries"))
+
+
+def read_mapping_headers(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(maps.HEADER_SCHEMA).json(f"{path}/headers")

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskwright.functions import fixed
-from maskwright.functions.detectors import _any_street
-from maskwright.functions.spans import find, find_terms, u
+from maskwright.functions.detectors import _CAPS_NAME, _any_street
+from maskwright.functions.spans import find, find_terms, lit, u
 from maskwright.operators.detect import detect
 
 FRAGMENTS = [
@@ -140,5 +140,27 @@ def test_long_runs_of_words_do_not_overflow(spark, docs):
     assert (row.start, row.end) == (0, 6000 * 4 - 1)
 
 
+def test_runs_equal_the_plain_patterns_at_any_length(spark):
+    rng = random.Random(1)
+    caps = ["ABC ", "ABC", " Abgeboren", " Paix", " Nationaliteit", " Nationaliteitgeboren", "geboren", " geboren", " - 01-",
+            " PERSON_", "\n", "x", " Ab", " P", " Ageborengeboren", " Xgeboren", ".", "DEFG"]
+    texts = ["".join(rng.choices(caps, k=rng.randint(1, 14))) for _ in range(400)]
+    texts += ["ABC " + "Abgeboren Paix " * n + " einde" for n in (30, 60, 5000)] + ["ABC" + " Nationaliteit Jan" * 5000]
+    heads = ["12 rue ", "12345 ", "9 avenue de la "]
+    tails = ["Paix", " Paix", " P--", " P-", " P", " Pa-", " Pa-ix", "-Paix", "--P", "X", " X", "é", " Dé--", ".", "\n", " ", "-", "1"]
+    texts += [rng.choice(heads) + "".join(rng.choices(tails, k=rng.randint(1, 14))) for _ in range(600)]
+    texts += ["12 rue Paix" + " P--" * n for n in (3, 60, 5000)] + ["12 rue Paix" + " Pa-" * 60 + " P--" * 60]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    spans = {}
+    for r in detect(frame, "address").collect():
+        spans.setdefault(r.doc_id, set()).add((r.start, r.end))
+    for i, text in enumerate(texts):
+        plain = {(m.start(), m.end()) for p in fixed.ADDRESSES for m in re.finditer(p, text) if "\n" not in m.group()}
+        assert spans.get(i, set()) == plain, text[:80]
+    found = dict(frame.selectExpr("doc_id", f"regexp_extract_all(text, {lit(_CAPS_NAME)}, 1)").collect())
+    for i, text in enumerate(texts):
+        assert found[i] == re.findall(fixed.CAPS_NAME, text), text[:80]
+
+
 def test_emails_stay_linear(docs):
     assert detect(docs("a." * 20000 + "@", "x" * 50000 + " @"), "email").count() == 0
