@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import staged
+from .cluster import discard, staged
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,12 +20,14 @@ def components(links: DataFrame) -> DataFrame:
     labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
     while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("n")).agg(F.min("label").alias("least"))
-        lower = labels.join(near, labels.node == near.n, "left").select(
-            "node", F.col("label").alias("was"), F.least("label", "least").alias("label"))
+        lower = labels.join(near, labels.node == near.n, "left").select("node", F.least("label", "least").alias("label"))
         ends = labels.select(F.col("node").alias("at"), F.col("label").alias("end"))
-        jumped = lower.join(ends, lower.label == F.col("at"), "left").select(
-            "node", "was", F.least("label", "end").alias("label"))
-        jumped = staged(jumped, "labels")
-        labels = jumped.select("node", "label")
-        if jumped.where("label < was").isEmpty():
+        jumped = staged(lower.join(ends, lower.label == F.col("at"), "left").select(
+            "node", F.least("label", "end").alias("label")), "labels")
+        was = labels.select(F.col("node").alias("n"), F.col("label").alias("was"))
+        done = jumped.join(was, F.col("node") == F.col("n")).where("label < was").isEmpty()
+        discard(labels)
+        labels = jumped
+        if done:
+            discard(both)
             return labels

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import ship, staged
+from .cluster import discard, ship, staged
 from .line_dedup import text_key
 from .texts import PUNCTUATION, Words, slices
 
@@ -169,11 +169,13 @@ def contamination(
     seen = spans.alias("s").join(
         found.alias("f"), F.expr("s.doc_id <=> f.doc_id and s.text_key = f.text_key"), "left").select(
         "s.doc_id", "s.text_key", "n_hit", "spans", "item_ids")
-    return runs.alias("d").join(
+    result = staged(runs.alias("d").join(
         seen.alias("x"), F.expr("d.doc_id <=> x.doc_id and d.text_key = x.text_key"), "left").select(
         "d.doc_id", "d.text_key", "d.n_words", F.coalesce("x.n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("x.spans", F.expr("array()").cast("array<struct<start: bigint, stop: bigint>>")).alias("spans"),
-        F.coalesce("x.item_ids", F.expr("array()").cast("array<string>")).alias("item_ids"))
+        F.coalesce("x.item_ids", F.expr("array()").cast("array<string>")).alias("item_ids")), "contamination")
+    discard(of_items, runs, hits)
+    return result
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import ship, shuffle_partitions, staged
+from .cluster import discard, ship, shuffle_partitions, staged
 from .texts import U64, Words, slices
 
 HEAD_CLASSES, CLASS_WORDS = 32, 32
@@ -468,6 +468,7 @@ def score_documents(
     weight[0] = max(weight[0] * 1.5, 1.0)  # next to each word seen once (weight 2) an unseen one (weight 1)
     share = 1 / np.maximum(weight, 1.0)
     ready = staged(_symbols(chunks, counted, head["token"].to_numpy(np.int64), share, total, types), "symbols")
+    discard(chunks, counted)
     model = Model(settings)
     model.start_at(head_count, c)
     flat = model.flat

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import shuffle_partitions, staged
+from .cluster import discard, shuffle_partitions, staged
 
 STRIPPED = " \t\n\x0b\x0c\r"
 WORD_BITS = 32
@@ -58,7 +58,8 @@ def keep_bitmaps(
     spark = docs.sparkSession
     groups = max(32, shuffle_partitions(spark))
     # Staged: range partitioning reads its input twice, the second time as 30 bytes a line.
-    hashes = staged(line_hashes(docs, min_chars, id_col, text_col), "lines").withColumn(
+    lines = staged(line_hashes(docs, min_chars, id_col, text_col), "lines")
+    hashes = lines.withColumn(
         "piece", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
     ordered = hashes.repartitionByRange("line_hash", "piece").sortWithinPartitions(
         "line_hash", "piece", F.desc_nulls_last("doc_id"), "line_no")
@@ -75,11 +76,13 @@ def keep_bitmaps(
     words = dropped.groupBy("doc_id", "text_key", F.floor(F.col("line_no") / WORD_BITS).cast("int").alias("word")).agg(
         F.expr(f"bit_or(shiftleft(1L, line_no % {WORD_BITS}))").alias("drop"))
     listed = words.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("word", "drop"))).alias("w"))
-    return listed.select(
+    bitmaps = staged(listed.select(
         "doc_id", "text_key",
         F.expr("aggregate(w, 0L, (n, x) -> n + bit_count(x.drop))").alias("n_dropped"),
         F.expr("transform(w, (x, i) -> named_struct('gap', x.word - coalesce(get(w, i - 1).word, -1) - 1, 'drop', x.drop))")
-        .alias("bitmap"))
+        .alias("bitmap")), "bitmaps")
+    discard(lines, ranked)
+    return bitmaps
 
 
 def drop_lines(

@@ -34,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import ship, staged
+from .cluster import discard, ship, staged
 from .components import components
 from .line_dedup import text_key
 from .texts import U64, Words, mix, slices
 
 VALUES = 64
-BITS = 8
+BITS = 16
 #: Chance that one pair of exactly the asked similarity lies beyond the signature limit.
 MISS = 1e-6
 #: Classes in a block of a key or cluster with many.
@@ -90,7 +90,7 @@ def _sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(shingle: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(offsets) - 1, VALUES), np.uint8)
+    out = np.zeros((len(offsets) - 1, VALUES), "<u2")
     full = np.flatnonzero(np.diff(offsets))
     for k in range(VALUES if len(full) else 0):
         least = np.minimum.reduceat(shingle * _FACTORS[k] + _TERMS[k], offsets[full])
@@ -134,14 +134,14 @@ def _keys(classes: DataFrame, limit: int) -> DataFrame:
             n = batch.num_rows
             if not n:
                 continue
-            signature = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(n, VALUES)
+            signature = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u2").reshape(n, VALUES)
             out = np.zeros((n, VALUES), U64)
             for number, chunk in enumerate(chunks):
                 for left_out in chunk:
                     key = np.full(n, number * VALUES + left_out + 1, U64)
                     for i in chunk:
                         if i != left_out:
-                            key = mix(key * U64(257) + signature[:, i])
+                            key = mix(key * U64(65537) + signature[:, i])
                     out[:, left_out] = key
             offsets = pa.array(np.arange(n + 1, dtype=np.int32) * VALUES)
             yield pa.RecordBatch.from_arrays(
@@ -192,7 +192,7 @@ def _streamed(rows: DataFrame, by: list[str], work, schema: str) -> DataFrame:
 
 
 def _signature_rows(rows: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(rows.num_rows, VALUES)
+    return np.frombuffer(b"".join(rows.column("signature").to_pylist()), "<u2").reshape(rows.num_rows, VALUES)
 
 
 def _close_forest(members: DataFrame, limit: int) -> DataFrame:
@@ -315,7 +315,8 @@ def near_duplicates(
         F.min("text_key").alias("text_key"))
     texts = wanted.join(
         holders.select(F.col("node").alias("doc_id"), "text_key", "set_key"), ["doc_id", "text_key"])
-    sets = staged(_set_rows(texts, shingle).dropDuplicates(["node", "set_key"]), "sets")
+    # Equal rows give equal sets, which do no harm below.
+    sets = staged(_set_rows(texts, shingle), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
@@ -331,20 +332,23 @@ def near_duplicates(
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l < m")
     rest = staged(labelled.join(open_keys.select("key"), "key", "left_semi"), "open")
     signatures = classes.select("node", "signature")
-    clusters = components(_close_forest(rest.join(signatures, "node"), limit)).withColumnRenamed("label", "cluster")
+    found_clusters = components(_close_forest(rest.join(signatures, "node"), limit))
+    clusters = found_clusters.withColumnRenamed("label", "cluster")
     described_sets = classes.select("node", "set_key", "signature").join(sets, ["node", "set_key"])
     within = clusters.join(rest.select("node", "label").distinct(), "node").join(described_sets, "node")
     more = staged(_confirmed_in_clusters(within, limit, percent), "confirmed")
-    labels = components(links.union(more))
+    before, labels = labels, components(links.union(more))
     of_class = classes.select("set_key", "node").join(labels, "node", "left").select(
         "set_key", F.coalesce("label", "node").alias("label"))
     done = described.join(of_class, "set_key", "left").select(
         "doc_id", "text_key", "n_shingles", "label")
     # Rows of one doc_id with different texts are one document: their classes have it as a common node.
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("label", "doc_id"))
-    return done.select(
+    result = staged(done.select(
         "doc_id", "text_key", "n_shingles", component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")), "near")
+    discard(described, classes, members, sets, links, before, rest, found_clusters, more, labels)
+    return result
 
 
 def _set_rows(texts: DataFrame, size: int) -> DataFrame:
