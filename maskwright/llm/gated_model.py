@@ -22,6 +22,7 @@ table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,7 +46,7 @@ CLASSES = HEAD_CLASSES + BANDS
 END = 0x1E3779B97F4A7C15
 CHUNK_TOKENS = 2_000_000
 #: Tokens that lie side by side in lanes; many, so that a long document is a small part of them.
-LAID_TOKENS = 4_000_000
+LAID_TOKENS = 3_000_000
 
 
 @dataclass(frozen=True)
@@ -157,6 +158,20 @@ def _counted(chunks: DataFrame) -> DataFrame:
         by_bucket, "chunk long, bucket int, counts binary, n array<long>, c array<long>, head array<struct<token: long, count: long>>")
 
 
+def _most_frequent(counted: DataFrame, buckets: int) -> DataFrame:
+    """The HEAD most frequent words (token, count): of the buckets' lists, merged in groups first."""
+
+    def merged(table: pa.Table) -> pa.Table:
+        flat = [x.flatten() for x in table.column("head").chunks]
+        token, count = (np.concatenate([x.field(i).to_numpy() for x in flat]) for i in range(2))
+        top = np.lexsort((token, -count))[:HEAD]
+        return pa.table({"token": token[top], "count": count[top]})
+
+    groups = math.isqrt(buckets) + 1
+    lists = counted.where("chunk is null").select("head", F.pmod(F.monotonically_increasing_id(), F.lit(groups)).alias("g"))
+    return lists.groupBy("g").applyInArrow(merged, "token long, count long").orderBy(F.desc("count"), "token").limit(HEAD)
+
+
 def _symbols(chunks: DataFrame, counted: DataFrame, head: np.ndarray, share: np.ndarray, total: int, types: int) -> DataFrame:
     """Chunks with symbols for tokens, and for each document base score, known tokens and log shares in bands.
 
@@ -452,10 +467,10 @@ def score_documents(
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == held_fold, F.lit(False))
     wanted = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    chunks = staged(_chunks(wanted, 4 * shuffle_partitions(spark)), "chunks")
+    buckets = 4 * shuffle_partitions(spark)
+    chunks = staged(_chunks(wanted, buckets), "chunks")
     counted = staged(_counted(chunks), "counts")
-    head = counted.select(F.explode("head").alias("h")).select("h.token", "h.count").orderBy(
-        F.desc("count"), "token").limit(HEAD).toPandas()
+    head = _most_frequent(counted, buckets).toPandas()
     pairs = counted.where("chunk is null").select(F.posexplode(F.arrays_zip("n", "c")).alias("band", "x"))
     n, c = np.zeros(BANDS), np.zeros(BANDS)
     for row in pairs.groupBy("band").agg(F.sum("x.n").alias("n"), F.sum("x.c").alias("c")).collect():
