@@ -81,6 +81,15 @@ def window(text: str, start: str, end: str) -> str:
     return f"substring({text}, {low} + 1, greatest({end} - {low}, 0))"
 
 
+# Edits rewritten in one go.
+BLOCK = 64
+
+
+def blocks(rows: str) -> str:
+    """A filled array cut into arrays of BLOCK elements."""
+    return f"transform(sequence(0, (size({rows}) - 1) div {BLOCK}), b -> slice({rows}, b * {BLOCK} + 1, {BLOCK}))"
+
+
 def _locate(text: str, found: str, regex: str, group: int | None, nr: str) -> str:
     """Offsets of the matches ``found`` of ``regex`` in ``text``."""
     gaps = f"transform(slice(split({text}, {regex}, -1), 1, size({found})), gap -> length(gap))"

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.functions.spans import SPANS, empty, let
+from maskwright.functions.spans import blocks, let
 from maskwright.functions.strategies import Strategy, get_strategy
 from maskwright.functions.text import join_broken_names, normalise, placeholder
 from maskwright.operators import mapping as maps
@@ -28,11 +28,16 @@ def rewrite(text: str, edits: str) -> str:
     """Replace disjoint spans, sorted by start, in one pass over the text.
 
     ``edits`` is an array of struct<start,end,value>."""
-    before = f"case when i = 0 then 0 else get({edits}, i - 1).end end"
-    pieces = f"transform({edits}, (e, i) -> concat(substring({text}, {before} + 1, e.start - {before}), e.value))"
+    # A block's stretch of the text is cut out once; its pieces come from there.
+    begin = "case when k = 0 then 0 else element_at(get(parts, k - 1), -1).end end"
+    before = "case when i = 0 then begin else get(part, i - 1).end end"
+    pieces = let("begin", begin, let(
+        "stretch", f"substring({text}, begin + 1, element_at(part, -1).end - begin)",
+        f"array_join(transform(part, (e, i) -> concat(substring(stretch, {before} - begin + 1, e.start - {before}), e.value)), '')"))
     return (
         f"case when {edits} is null or size({edits}) = 0 then {text} else "
-        f"concat(array_join({pieces}, ''), substring({text}, element_at({edits}, -1).end + 1)) end"
+        f"concat({let('parts', blocks(edits), f"array_join(transform(parts, (part, k) -> {pieces}), '')")}, "
+        f"substring({text}, element_at({edits}, -1).end + 1)) end"
     )
 
 
