@@ -53,12 +53,17 @@ def encode_batch(log: MappingLog, output: str, profile: Profile = "patterns"):
     return run
 
 
-def encode_stream(docs: DataFrame, log_path: str, output: str, checkpoint: str, profile: Profile = "patterns"):
-    """Start a query that sanitises a stream with one mapping for all of it."""
+def encode_stream(docs: DataFrame, log_path: str, output: str, checkpoint: str, profile: Profile = "patterns",
+                  trigger: dict | None = None):
+    """Start a query that sanitises a stream with one mapping for all of it.
+
+    ``trigger`` holds the arguments of DataStreamWriter.trigger(); by default
+    the query takes what is there and ends.
+    """
     log = MappingLog(docs.sparkSession, log_path)
     return (
         docs.writeStream.foreachBatch(encode_batch(log, output, profile))
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
