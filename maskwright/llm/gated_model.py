@@ -3,8 +3,13 @@
 Words, by 64-bit hashes, are counted over all training documents. The `HEAD` most frequent (the end of a text counts as
 one) are symbols of their own; the others are symbols by the power of two of their count, with an unseen word next to
 those seen once. The output is factored: a softmax over classes, then over the words of a class for frequent words, or a
-word's share of its count's band. A band's shares go by count + 1; unseen words are taken to be as many as those seen
-once. So every text has a proper probability.
+walk down the binary tree of all words of the count's band. Each counted word has a leaf of its own, so trees deepen with
+the vocabulary; what the network decides at a node is a hashed row of weights, and a node's odds start at the numbers of
+words on its two sides. On the input a counted word adds two hashed rows of its own to its band's symbol. Only words that no
+training document has are alike; they are taken to be as many as those seen once and half as likely. So every text has a
+proper probability.
+
+Hashed rows are trained by plain gradient steps on the rows that a window touches, all other weights by Adam.
 
 Training is data-parallel. In each round every task runs over its part of the training documents from the same weights,
 in lanes that carry the state across windows and start each document anew; the weights are then averaged by tokens, in a
@@ -12,7 +17,8 @@ tree. Output biases start at the log counts, so the model starts as a unigram mo
 whole documents in the same way.
 
 What grows with the corpus stays in Spark: counts are pre-aggregated in each chunk of documents, sent packed to the
-bucket of their words' hashes, added up there, and joined back by (chunk, bucket). The driver sees the head words, sums by band and one set of weights.
+bucket of their words' hashes, added up and numbered by band there, and joined back by (chunk, bucket). The driver sees
+the head words, sums by bucket and band, and one set of weights.
 
 Defined cases: null text is empty, its one token is the end; a null doc_id belongs to the training documents; rows with
 one doc_id are scored each; without training documents base_score is 0 for every text and the model is uniform; an empty
@@ -32,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import discard, ship, shuffle_partitions, staged
-from .texts import U64, Words, slices
+from .texts import U64, Words, mix, slices
 
 HEAD_CLASSES, CLASS_WORDS = 32, 32
 #: Frequent words with a symbol of their own.
@@ -42,6 +48,12 @@ SYMBOLS = HEAD + BANDS
 #: The input before a document's first token.
 BEGIN = SYMBOLS
 CLASSES = HEAD_CLASSES + BANDS
+#: Rows of weights that the nodes of the bands' trees, and the words outside the head on the input, are hashed to.
+NODE_BITS, WORD_BITS = 13, 12
+#: Rank of a token that has none: a frequent word, or one that no training document has.
+NONE = 0xFFFFFFFF
+#: Step of a hashed row by its summed gradient, and the number of visits from which it goes by their mean.
+ROW_RATE, ROW_VISITS = 0.05, 8.0
 #: Hash of the end of a text; no word has it but by chance.
 END = 0x1E3779B97F4A7C15
 CHUNK_TOKENS = 2_000_000
@@ -130,8 +142,10 @@ def _chunks(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _counted(chunks: DataFrame) -> DataFrame:
-    """Counts over all training documents, by bucket: rows (chunk, bucket, counts) for each chunk's words, and one row
-    (chunk null) with what the bucket's words add up to in bands, and its most frequent words."""
+    """Counts over all training documents, by bucket: rows (chunk, bucket, counts, places) for each chunk's words, and one
+    row (chunk null) with what the bucket's words add up to in bands, and its most frequent words.
+
+    places: a counted word's number among the bucket's words of its band, in order of hashes."""
 
     def by_bucket(table: pa.Table) -> pa.Table:
         types = [np.frombuffer(x.as_buffer(), U64) for x in table.column("types")]
@@ -141,21 +155,27 @@ def _counted(chunks: DataFrame) -> DataFrame:
         back = np.split(count[each], np.cumsum([len(t) for t in types])[:-1])
         known = count > 0
         band = _band(count[known])
+        by_band, in_band = np.argsort(band, kind="stable"), np.bincount(band, minlength=BANDS)
+        place, nth = np.full(len(words), NONE, "<u4"), np.empty(len(band), "<u4")
+        nth[by_band] = np.arange(len(band)) - np.repeat(np.cumsum(in_band) - in_band, in_band)
+        place[known] = nth
+        places = np.split(place[each], np.cumsum([len(t) for t in types])[:-1])
         top = np.argsort(-count, kind="stable")[:HEAD]
         top = top[count[top] > 0]
         n = len(back)
         return pa.table({
             "chunk": pa.array([*table.column("chunk").to_pylist(), None], pa.int64()),
-            "bucket": pa.array([*table.column("bucket").to_pylist(), None], pa.int32()),
+            "bucket": pa.array([*table.column("bucket").to_pylist(), table.column("bucket")[0].as_py()], pa.int32()),
             "counts": pa.array([*(_planes(x.astype("<u8")) for x in back), None], pa.binary()),
-            "n": pa.array([None] * n + [np.bincount(band, minlength=BANDS).tolist()], pa.list_(pa.int64())),
+            "places": pa.array([*(_planes(x) for x in places), None], pa.binary()),
+            "n": pa.array([None] * n + [in_band.tolist()], pa.list_(pa.int64())),
             "c": pa.array([None] * n + [np.bincount(band, count[known], BANDS).astype(np.int64).tolist()], pa.list_(pa.int64())),
             "head": pa.array([None] * n + [[{"token": int(t), "count": int(k)} for t, k in zip(
                 words[top].view(np.int64), count[top], strict=True)]], pa.list_(pa.struct([("token", pa.int64()), ("count", pa.int64())]))),
         })
 
     return chunks.where("bucket >= 0").select("chunk", "bucket", "types", "seen").groupBy("bucket").applyInArrow(
-        by_bucket, "chunk long, bucket int, counts binary, n array<long>, c array<long>, head array<struct<token: long, count: long>>")
+        by_bucket, "chunk long, bucket int, counts binary, places binary, n array<long>, c array<long>, head array<struct<token: long, count: long>>")
 
 
 def _most_frequent(counted: DataFrame, buckets: int) -> DataFrame:
@@ -172,32 +192,46 @@ def _most_frequent(counted: DataFrame, buckets: int) -> DataFrame:
     return lists.groupBy("g").applyInArrow(merged, "token long, count long").orderBy(F.desc("count"), "token").limit(HEAD)
 
 
-def _symbols(chunks: DataFrame, counted: DataFrame, head: np.ndarray, share: np.ndarray, total: int, types: int) -> DataFrame:
-    """Chunks with symbols for tokens, and for each document base score, known tokens and log shares in bands.
+def _symbols(
+    chunks: DataFrame, counted: DataFrame, head: np.ndarray, head_band: np.ndarray, before: np.ndarray, once: float, unseen: float,
+    total: int, types: int,
+) -> DataFrame:
+    """Chunks with symbols for tokens, ranks for those outside the head, and for each document base score, known tokens and
+    what the choice between words seen once and unseen adds to its log probability.
 
-    head: the frequent words' hashes, by symbol.
+    head, head_band: the frequent words' hashes by symbol, and their bands. before: by bucket and band, the words of the
+    buckets before. A word's rank is its number among the words of its band outside the head, in order of hashes.
     """
     words = chunks.where("bucket >= 0").select("chunk", "bucket", "types")
-    joined = words.join(counted.where("chunk is not null").select("chunk", "bucket", "counts"), ["chunk", "bucket"])
+    joined = words.join(counted.where("chunk is not null").select("chunk", "bucket", "counts", "places"), ["chunk", "bucket"])
     order = np.argsort(head)
     ordered = head[order]
+    head_of = {b: np.sort(head.view(U64)[head_band == b]) for b in np.unique(head_band).tolist()}
 
     def with_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for types_, counts in zip(batch.column("types"), batch.column("counts"), strict=True):
+            out, ranks = [], []
+            for types_, counts, places, bucket in zip(
+                    *map(batch.column, ("types", "counts", "places", "bucket")), strict=True):
                 token, count = np.frombuffer(types_.as_buffer(), np.int64), _unplanes(counts.as_py(), "<u8").astype(np.int64)
-                symbol = HEAD + _band(count)
+                band = _band(count)
+                rank = before[bucket.as_py()][band] + _unplanes(places.as_py(), "<u4")
+                for b, hashes in head_of.items():
+                    at = np.flatnonzero(band == b)
+                    rank[at] -= np.searchsorted(hashes, token[at].view(U64))
+                symbol = HEAD + band
                 if len(ordered):
                     at = np.minimum(np.searchsorted(ordered, token), len(ordered) - 1)
                     symbol = np.where(ordered[at] == token, order[at], symbol)
                 out.append(_planes(symbol.astype("<u2")))
+                ranks.append(_planes(np.where((symbol >= HEAD) & (count > 0), rank, NONE).astype("<u4")))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("chunk"), batch.column("bucket"), batch.column("counts"), pa.array(out, pa.binary())],
-                names=["chunk", "bucket", "counts", "by_type"])
+                [batch.column("chunk"), batch.column("bucket"), batch.column("counts"), pa.array(out, pa.binary()),
+                 pa.array(ranks, pa.binary())], names=["chunk", "bucket", "counts", "by_type", "ranks"])
 
-    of_chunk = joined.mapInArrow(with_symbols, "chunk long, bucket int, counts binary, by_type binary").groupBy("chunk").agg(
-        F.sort_array(F.collect_list(F.struct("bucket", "counts", "by_type"))).alias("words"))
+    of_chunk = joined.mapInArrow(
+        with_symbols, "chunk long, bucket int, counts binary, by_type binary, ranks binary").groupBy("chunk").agg(
+        F.sort_array(F.collect_list(F.struct("bucket", "counts", "by_type", "ranks"))).alias("words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,35 +240,61 @@ def _symbols(chunks: DataFrame, counted: DataFrame, head: np.ndarray, share: np.
                 local = _unplanes(row["tokens"], "<u4")
                 count = np.concatenate([_unplanes(w["counts"], "<u8") for w in row["words"]]).astype(np.int64)
                 symbol = np.concatenate([_unplanes(w["by_type"], "<u2") for w in row["words"]])
+                rank = np.concatenate([_unplanes(w["ranks"], "<u4") for w in row["words"]])
                 sizes = np.array(row["sizes"])
                 starts = np.cumsum(sizes) - sizes
                 base = np.log10((count + 1) / (total + types + 1))
-                band = np.where(symbol >= HEAD, symbol.astype(np.int64) - HEAD, 0)
-                inner = np.where(symbol >= HEAD, np.log10((count + 1) * share[band]), 0.0)
+                inner = np.where(symbol == HEAD, np.where(count > 0, once, unseen), 0.0)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([row["doc_ids"]], pa.list_(pa.int64())), pa.array([row["held_out"]], pa.list_(pa.bool_())),
                     pa.array([row["sizes"]], pa.list_(pa.int64())), pa.array([_planes(symbol[local])], pa.binary()),
+                    pa.array([_planes(rank[local[symbol[local] >= HEAD]])], pa.binary()),
                     pa.array([np.add.reduceat(base[local], starts).tolist()]),
                     pa.array([np.add.reduceat((count > 0)[local].astype(np.int64), starts).tolist()]),
                     pa.array([np.add.reduceat(inner[local], starts).tolist()])], names=names)
 
-    names = ["doc_ids", "held_out", "sizes", "symbols", "base", "known", "inner"]
+    names = ["doc_ids", "held_out", "sizes", "symbols", "ranks", "base", "known", "inner"]
     documents = chunks.where("bucket < 0").select("chunk", "doc_ids", "held_out", "sizes", "tokens")
     return documents.join(of_chunk, "chunk").select("doc_ids", "held_out", "sizes", "tokens", "words").mapInArrow(
-        run, "doc_ids array<long>, held_out array<boolean>, sizes array<long>, symbols binary, base array<double>, "
+        run, "doc_ids array<long>, held_out array<boolean>, sizes array<long>, symbols binary, ranks binary, base array<double>, "
              "known array<long>, inner array<double>")
 
 
 # The network.
 
 
+def _nudge(table: np.ndarray, rows: np.ndarray, gradients: np.ndarray) -> None:
+    """A gradient step on the rows of a table that `rows` names, each as often as it is visited."""
+    if 8 * len(rows) < len(table):  # few visits: the rows they touch, not the whole table
+        named, rows = np.unique(rows, return_inverse=True)
+        part = table[named]
+        _nudge(part, rows, gradients)
+        table[named] = part
+        return
+    visits = np.bincount(rows, minlength=len(table))
+    rate = ROW_RATE / (1 + visits / ROW_VISITS)
+    for k in range(table.shape[1]):
+        table[:, k] -= np.bincount(rows, gradients[:, k], len(table)) * rate
+
+
+def _word_rows(band: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two hashed input rows of words outside the head."""
+    key = mix((rank.astype(U64) << U64(6)) + band.astype(U64))
+    return (key >> U64(64 - WORD_BITS)).astype(np.uint16), (key & U64((1 << WORD_BITS) - 1)).astype(np.uint16)
+
+
 class Model:
-    """Gated recurrent units over symbols. Weights are one float32 vector; the parts are views of it."""
+    """Gated recurrent units over symbols. Weights are one float32 vector; the parts are views of it. The first `dense` are
+    trained by Adam, the others are hashed rows. in_bands: the number of words outside the head, by band."""
 
-    def __init__(self, settings: Settings, flat: np.ndarray | None = None):
+    def __init__(self, settings: Settings, flat: np.ndarray | None = None, in_bands: np.ndarray | None = None):
         h = settings.hidden
+        self.in_bands = np.zeros(BANDS, np.int64) if in_bands is None else in_bands.astype(np.int64)
+        self.depth = np.array([max(int(n) - 1, 0).bit_length() for n in self.in_bands])
         shapes = {"embed": (SYMBOLS + 1, 3 * h), "recur": (h, 3 * h), "classes": (h, CLASSES), "class_bias": (CLASSES,),
-                  "words": (HEAD_CLASSES, CLASS_WORDS, h), "word_bias": (HEAD_CLASSES, CLASS_WORDS)}
+                  "words": (HEAD_CLASSES, CLASS_WORDS, h), "word_bias": (HEAD_CLASSES, CLASS_WORDS),
+                  "nodes": (1 << NODE_BITS, h + 1), "inputs": (1 << WORD_BITS, h)}
+        self.dense = sum(int(np.prod(s)) for name, s in shapes.items() if name not in ("nodes", "inputs"))
         size = sum(int(np.prod(s)) for s in shapes.values())
         self.h, self.flat = h, np.zeros(size, np.float32) if flat is None else flat.astype(np.float32)
         at, self.parts = 0, {}
@@ -255,14 +315,19 @@ class Model:
         self.parts["word_bias"][:] = np.log(words)
         self.parts["class_bias"][:] = np.log(np.r_[words.sum(1), band_counts + 0.1] / (words.sum() + band_counts.sum()))
 
-    def forward(self, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: bool):
-        """inputs, fresh: (steps, lanes). Hidden states (steps, lanes, h), the last state, what backward needs."""
+    def forward(self, inputs: np.ndarray, ranks: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: bool):
+        """inputs, their ranks, fresh: (steps, lanes). Hidden states (steps, lanes, h), the last state, what backward needs."""
         embed, recur, h = self.parts["embed"], self.parts["recur"], self.h
+        own = ranks != NONE
+        one, two = _word_rows(inputs[own] - HEAD, ranks[own])
+        added = np.zeros((*inputs.shape, h), np.float32)
+        added[own] = self.parts["inputs"][one] + self.parts["inputs"][two]
         out = np.empty((*inputs.shape, h), np.float32)
         kept = []
         for t in range(len(inputs)):
             before = state * ~fresh[t][:, None] if fresh[t].any() else state
             x = embed[inputs[t]]
+            x[:, 2 * h:] += added[t]
             u = before @ recur
             gates = x[:, :2 * h] + u[:, :2 * h]
             np.negative(gates, out=gates)
@@ -312,8 +377,50 @@ class Model:
                 d_hidden[at] += inner @ p["words"][k]
         return (logp, d_hidden) if grads is not None else logp
 
-    def backward(self, inputs, fresh, kept, d_out, grads) -> None:
-        """Gradients of a window from those of its hidden states; truncated at its start."""
+    def within(self, hidden: np.ndarray, band: np.ndarray, rank: np.ndarray, learn: bool):
+        """Natural log probabilities of words within their bands; to learn, steps on the nodes' rows and returns d hidden too.
+
+        The tree of n words halves ranges of ranks whose sizes are powers of two; a node without words on its right is none.
+        """
+        nodes = self.parts["nodes"]
+        by = np.argsort(-self.depth[band], kind="stable")
+        depth, n, r, at = self.depth[band][by], self.in_bands[band][by], rank[by].astype(np.int64), hidden[by]
+        salt = band[by].astype(U64)
+        logp, d_hidden = np.zeros(len(by), np.float32), np.zeros_like(at)
+        rows, steps, done = np.empty(depth.sum(), np.uint16), np.empty((depth.sum(), self.h + 1), np.float32, "F"), 0
+        for level in range(int(depth.max(initial=0))):
+            k = int(np.searchsorted(-depth, -level, "left"))  # the words whose trees are deeper
+            below = depth[:k] - level - 1
+            side = r[:k] >> below
+            middle = (side | 1) << below
+            right, half = n[:k] - middle, 1 << below
+            row = (mix((middle.astype(U64) << U64(6)) + salt[:k]) >> U64(64 - NODE_BITS)).astype(np.uint16)
+            weights = nodes[row]
+            odds = np.einsum("ij,ij->i", at[:k], weights[:, :-1]) + weights[:, -1]
+            uneven = np.flatnonzero(right < half)
+            if len(uneven):
+                none = right[uneven] <= 0
+                odds[uneven] += np.log(np.maximum(right[uneven], 1) / half[uneven]).astype(np.float32)
+                odds[uneven[none]] = -80
+            bit = (side & 1).astype(np.float32)
+            small = np.exp(-np.abs(odds))
+            logp[:k] -= np.log1p(small) + np.maximum(np.where(bit > 0, -odds, odds), 0)
+            if learn:
+                d = (np.where(odds > 0, 1, small) / (1 + small) - bit)[:, None]
+                d_hidden[:k] += weights[:, :-1] * d
+                rows[done:done + k] = row
+                np.multiply(at[:k], d, out=steps[done:done + k, :-1])
+                steps[done:done + k, -1] = d[:, 0]
+                done += k
+        back = np.empty(len(by), np.int64)
+        back[by] = np.arange(len(by))
+        if not learn:
+            return logp[back]
+        _nudge(nodes, rows, steps)
+        return logp[back], d_hidden[back]
+
+    def backward(self, inputs, ranks, fresh, kept, d_out, grads) -> None:
+        """Gradients of a window from those of its hidden states; truncated at its start. Steps on the words' input rows."""
         h, recur = self.h, self.parts["recur"]
         carry = np.zeros_like(d_out[0])
         d_x = np.empty((*inputs.shape, 3 * h), np.float32)
@@ -330,6 +437,10 @@ class Model:
             carry = d_u @ recur.T + d * z
             if fresh[t].any():
                 carry *= ~fresh[t][:, None]
+        own = ranks != NONE
+        one, two = _word_rows(inputs[own] - HEAD, ranks[own])
+        d_own = np.clip(d_x[own][:, 2 * h:], -1, 1)
+        _nudge(self.parts["inputs"], np.concatenate([one, two]), np.concatenate([d_own, d_own]))
         flat, rows = inputs.reshape(-1), d_x.reshape(-1, 3 * h)
         by = np.argsort(flat, kind="stable")
         heads = np.flatnonzero(np.r_[True, np.diff(flat[by]) != 0])
@@ -342,13 +453,30 @@ class _Lanes:
 
     inputs: np.ndarray
     targets: np.ndarray
+    ranks: np.ndarray
     fresh: np.ndarray
-    owner: np.ndarray
+    owner: np.ndarray | None
     width: np.ndarray
 
+    def windows(self, settings: Settings) -> Iterator[tuple[int, int, int]]:
+        """Start, stop and width of windows; the fewer lanes are left, the longer, as a step costs as much for few as for many."""
+        t = 0
+        while t < len(self.inputs):
+            wide = int(self.width[t])
+            stop = min(t + settings.window * min(max(settings.lanes // (4 * wide), 1), 16), len(self.inputs))
+            yield t, stop, wide
+            t = stop
+
+    def input_ranks(self, t: int, stop: int, wide: int) -> np.ndarray:
+        """Ranks of the inputs, which are the targets of the step before."""
+        out = np.full((stop - t, wide), NONE, np.uint32)
+        out[int(t == 0):] = self.ranks[max(t - 1, 0):stop - 1, :wide]
+        out[self.inputs[t:stop, :wide] == BEGIN] = NONE
+        return out
+
 
-def _lanes(symbols: np.ndarray, sizes: np.ndarray, chosen: np.ndarray, lanes: int) -> _Lanes | None:
-    """The chosen documents in at most `lanes` lanes of nearly equal length."""
+def _lanes(symbols: np.ndarray, ranks: np.ndarray, sizes: np.ndarray, chosen: np.ndarray, lanes: int, owners: bool) -> _Lanes | None:
+    """The chosen documents in at most `lanes` lanes of nearly equal length; whose token is where if `owners`."""
     if not len(chosen):
         return None
     starts = np.cumsum(sizes) - sizes
@@ -362,89 +490,102 @@ def _lanes(symbols: np.ndarray, sizes: np.ndarray, chosen: np.ndarray, lanes: in
     length = np.array([sum(int(sizes[d]) for d in docs) for docs in held])
     order = np.argsort(-length, kind="stable")
     steps = int(length[order[0]])
-    inputs, targets = np.full((steps, len(held)), BEGIN, np.int32), np.zeros((steps, len(held)), np.int32)
-    fresh, owner = np.zeros((steps, len(held)), bool), np.zeros((steps, len(held)), np.int32)
+    inputs, targets = np.full((steps, len(held)), BEGIN, np.uint16), np.zeros((steps, len(held)), np.uint16)
+    laid_ranks = np.full((steps, len(held)), NONE, np.uint32)
+    fresh, owner = np.zeros((steps, len(held)), bool), np.zeros((steps, len(held)), np.int32) if owners else None
     for column, k in enumerate(order.tolist()):
         at = 0
         for doc in held[k]:
             n = int(sizes[doc])
             text = symbols[starts[doc]:starts[doc] + n]
             targets[at:at + n, column], inputs[at + 1:at + n, column] = text, text[:-1]
-            fresh[at, column], owner[at:at + n, column] = True, doc
+            laid_ranks[at:at + n, column] = ranks[starts[doc]:starts[doc] + n]
+            fresh[at, column] = True
+            if owners:
+                owner[at:at + n, column] = doc
             at += n
     width = np.searchsorted(np.sort(-length), -np.arange(steps), "left")
-    return _Lanes(inputs, targets, fresh, owner, np.maximum(width, 1))
+    return _Lanes(inputs, targets, laid_ranks, fresh, owner, np.maximum(width, 1))
 
 
-def train(model: Model, settings: Settings, chunks: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> int:
-    """Run over (symbols, sizes, chosen documents) chunks with Adam; the number of tokens learned from.
+def train(model: Model, settings: Settings, chunks: Iterator[tuple[np.ndarray, ...]]) -> int:
+    """Run over (symbols, ranks, sizes, chosen documents) chunks with Adam; the number of tokens learned from.
 
     Gradients add up until they are of half a full window's tokens, so the few lanes left at the end of a chunk, those of
     its longest document, weigh no more than others.
     """
-    first, second = np.zeros_like(model.flat), np.zeros_like(model.flat)
+    dense = model.flat[:model.dense]
+    first, second = np.zeros_like(dense), np.zeros_like(dense)
     step, tokens, gathered = 0, 0, 0
     gradient = Model(settings, np.zeros_like(model.flat))
-    for symbols, sizes, chosen in chunks:
-        laid = _lanes(symbols, sizes, chosen, settings.lanes)
+
+    def apply() -> None:
+        nonlocal step, gathered
+        g = gradient.flat[:model.dense]
+        g *= 1.0 / gathered
+        norm = float(np.sqrt(g @ g))
+        if norm > 1:
+            g *= 1 / norm
+        step += 1
+        first[:] += 0.1 * (g - first)
+        second[:] += 0.01 * (g * g - second)
+        rate = settings.rate * (1 - 0.99 ** step) ** 0.5 / (1 - 0.9 ** step)
+        dense[:] -= np.float32(rate) * first / (np.sqrt(second) + np.float32(1e-8))
+        gradient.flat[:], gathered = 0, 0
+
+    for symbols, ranks, sizes, chosen in chunks:
+        laid = _lanes(symbols, ranks, sizes, chosen, settings.lanes, owners=False)
         if laid is None:
             continue
         state = np.zeros((laid.inputs.shape[1], model.h), np.float32)
-        for t in range(0, len(laid.inputs), settings.window):
-            stop = min(t + settings.window, len(laid.inputs))
-            wide = int(laid.width[t])
-            inputs, fresh = laid.inputs[t:stop, :wide], laid.fresh[t:stop, :wide]
-            hidden, state, kept = model.forward(inputs, fresh, state[:wide], keep=True)
+        for t, stop, wide in laid.windows(settings):
+            inputs, fresh = laid.inputs[t:stop, :wide].astype(np.int32), laid.fresh[t:stop, :wide]
+            input_ranks = laid.input_ranks(t, stop, wide)
+            hidden, state, kept = model.forward(inputs, input_ranks, fresh, state[:wide], keep=True)
             real = np.arange(wide) < laid.width[t:stop, None]
-            _, d = model.output(hidden[real], laid.targets[t:stop, :wide][real], gradient.parts)
+            at, targets, own = hidden[real], laid.targets[t:stop, :wide][real].astype(np.int32), laid.ranks[t:stop, :wide][real]
+            _, d = model.output(at, targets, gradient.parts)
+            tail = np.flatnonzero(own != NONE)
+            d[tail] += model.within(at[tail], targets[tail] - HEAD, own[tail], learn=True)[1]
             d_hidden = np.zeros_like(hidden)
             d_hidden[real] = d
-            model.backward(inputs, fresh, kept, d_hidden, gradient.parts)
+            model.backward(inputs, input_ranks, fresh, kept, d_hidden, gradient.parts)
             n = int(real.sum())
             tokens, gathered = tokens + n, gathered + n
-            if 2 * gathered < settings.lanes * settings.window:
-                continue
-            g = gradient.flat
-            g *= 1.0 / gathered
-            norm = float(np.sqrt(g @ g))
-            if norm > 1:
-                g *= 1 / norm
-            step += 1
-            first += 0.1 * (g - first)
-            second += 0.01 * (g * g - second)
-            rate = settings.rate * (1 - 0.99 ** step) ** 0.5 / (1 - 0.9 ** step)
-            model.flat -= np.float32(rate) * first / (np.sqrt(second) + np.float32(1e-8))
-            gradient.flat[:], gathered = 0, 0
+            if 2 * gathered >= settings.lanes * settings.window:
+                apply()
     return tokens
 
 
-def log_likelihood(model: Model, settings: Settings, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Natural log probability of each document's symbols, the state carried through all its windows."""
+def log_likelihood(model: Model, settings: Settings, symbols: np.ndarray, ranks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Natural log probability of each document's symbols and of the words within their bands, the state carried through all its windows."""
     out = np.zeros(len(sizes))
-    laid = _lanes(symbols, sizes, np.arange(len(sizes)), 2 * settings.lanes)
+    laid = _lanes(symbols, ranks, sizes, np.arange(len(sizes)), 2 * settings.lanes, owners=True)
     if laid is None:
         return out
     state = np.zeros((laid.inputs.shape[1], model.h), np.float32)
-    for t in range(0, len(laid.inputs), settings.window):
-        stop = min(t + settings.window, len(laid.inputs))
-        wide = int(laid.width[t])
-        hidden, state, _ = model.forward(laid.inputs[t:stop, :wide], laid.fresh[t:stop, :wide], state[:wide], keep=False)
+    for t, stop, wide in laid.windows(settings):
+        hidden, state, _ = model.forward(
+            laid.inputs[t:stop, :wide].astype(np.int32), laid.input_ranks(t, stop, wide), laid.fresh[t:stop, :wide], state[:wide], keep=False)
         real = np.arange(wide) < laid.width[t:stop, None]
-        logp = model.output(hidden[real], laid.targets[t:stop, :wide][real], None)
+        at, targets, own = hidden[real], laid.targets[t:stop, :wide][real].astype(np.int32), laid.ranks[t:stop, :wide][real]
+        logp = model.output(at, targets, None)
+        tail = np.flatnonzero(own != NONE)
+        logp[tail] += model.within(at[tail], targets[tail] - HEAD, own[tail], learn=False)
         out += np.bincount(laid.owner[t:stop, :wide][real], logp.astype(np.float64), len(sizes))
     return out
 
 
 def _average(weights: DataFrame) -> np.ndarray | None:
-    """Mean by tokens of rows (part, tokens, weights), 16 at a time."""
+    """Mean by tokens of rows (part, tokens, weights), 16 at a time. What is averaged are changes, in half precision."""
 
     def mean(table: pa.Table) -> pa.Table:
         n = table.column("tokens").to_numpy().astype(np.float64)
-        total = np.zeros(len(table.column("weights")[0].as_buffer()) // 4)
+        total = np.zeros(len(table.column("weights")[0].as_buffer()) // 2)
         for w, x in zip(n, table.column("weights"), strict=True):
-            total += w * np.frombuffer(x.as_buffer(), "<f4")
+            total += w * np.frombuffer(x.as_buffer(), "<f2")
         return pa.table({"part": table.column("part")[:1], "tokens": pa.array([int(n.sum())]),
-                         "weights": pa.array([(total / max(n.sum(), 1)).astype("<f4").tobytes()], pa.binary())})
+                         "weights": pa.array([(total / max(n.sum(), 1)).astype("<f2").tobytes()], pa.binary())})
 
     kind = "part long, tokens long, weights binary"
     while (many := weights.count()) > 1:
@@ -454,7 +595,7 @@ def _average(weights: DataFrame) -> np.ndarray | None:
             break
         weights = weights.withColumn("part", F.floor(F.col("part") / 16))
     row = weights.first()
-    return None if row is None else np.frombuffer(row["weights"], "<f4").copy()
+    return None if row is None else np.frombuffer(row["weights"], "<f2").astype(np.float32)
 
 
 def score_documents(
@@ -471,34 +612,40 @@ def score_documents(
     chunks = staged(_chunks(wanted, buckets), "chunks")
     counted = staged(_counted(chunks), "counts")
     head = _most_frequent(counted, buckets).toPandas()
-    pairs = counted.where("chunk is null").select(F.posexplode(F.arrays_zip("n", "c")).alias("band", "x"))
-    n, c = np.zeros(BANDS), np.zeros(BANDS)
-    for row in pairs.groupBy("band").agg(F.sum("x.n").alias("n"), F.sum("x.c").alias("c")).collect():
-        n[row["band"]], c[row["band"]] = row["n"], row["c"]
+    sums = counted.where("chunk is null").select("bucket", "n", "c").collect()
+    by_bucket = np.zeros((buckets, BANDS), np.int64)
+    n, c = np.zeros(BANDS, np.int64), np.zeros(BANDS, np.int64)
+    for row in sums:
+        by_bucket[row["bucket"]] = row["n"]
+        n, c = n + row["n"], c + row["c"]
+    before = np.cumsum(by_bucket, axis=0) - by_bucket
     total, types = int(c.sum()), int(n.sum())
     head_count = head["count"].to_numpy(np.int64)
-    n -= np.bincount(_band(head_count), minlength=BANDS)
-    c -= np.bincount(_band(head_count), head_count, BANDS)
-    weight = n + c
-    weight[0] = max(weight[0] * 1.5, 1.0)  # next to each word seen once (weight 2) an unseen one (weight 1)
-    share = 1 / np.maximum(weight, 1.0)
-    ready = staged(_symbols(chunks, counted, head["token"].to_numpy(np.int64), share, total, types), "symbols")
+    head_band = _band(head_count)
+    n -= np.bincount(head_band, minlength=BANDS)
+    c -= np.bincount(head_band, head_count, BANDS).astype(np.int64)
+    # Next to each word seen once (weight 2) an unseen one (weight 1).
+    once, unseen = (math.log10(2 / 3), -math.log10(3 * n[0])) if n[0] else (0.0, 0.0)
+    ready = staged(_symbols(
+        chunks, counted, head["token"].to_numpy(np.int64), head_band, before, once, unseen, total, types), "symbols")
     discard(chunks, counted)
     model = Model(settings)
     model.start_at(head_count, c)
     flat = model.flat
     for round_ in range(settings.rounds):
-        learned = _average(staged(_round(ready, settings, flat, round_), "weights"))
-        flat = flat if learned is None else learned
-    return _scored(ready, settings, flat, int(total))
+        change = _average(staged(_round(ready, settings, flat, n, round_), "weights"))
+        flat = flat if change is None else flat + change
+    return _scored(ready, settings, flat, n, int(total))
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """Rows of chunks put together up to LAID_TOKENS."""
 
     def together(rows: list[dict]) -> dict:
-        out = {c: np.concatenate([np.array(r[c]) for r in rows]) for c in rows[0] if c not in ("symbols", "doc_ids")}
+        out = {c: np.concatenate([np.array(r[c]) for r in rows]) for c in rows[0] if c not in ("symbols", "ranks", "doc_ids")}
         out["symbols"] = np.concatenate([_unplanes(r["symbols"], "<u2").astype(np.int32) for r in rows])
+        out["ranks"] = np.full(len(out["symbols"]), NONE, np.uint32)
+        out["ranks"][out["symbols"] >= HEAD] = np.concatenate([_unplanes(r["ranks"], "<u4") for r in rows])
         out["doc_ids"] = [i for r in rows for i in r.get("doc_ids", ())]
         return out
 
@@ -508,13 +655,14 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             held.append(batch.slice(i, 1).to_pylist()[0])
             total += sum(held[-1]["sizes"])
             if total >= LAID_TOKENS:
-                yield together(held)
-                held, total = [], 0
+                block, held, total = together(held), [], 0
+                yield block
+                del block
     if held:
         yield together(held)
 
 
-def _round(ready: DataFrame, settings: Settings, flat: np.ndarray, round_: int) -> DataFrame:
+def _round(ready: DataFrame, settings: Settings, flat: np.ndarray, in_bands: np.ndarray, round_: int) -> DataFrame:
     shared = ready.sparkSession.sparkContext.broadcast(flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -523,25 +671,25 @@ def _round(ready: DataFrame, settings: Settings, flat: np.ndarray, round_: int)
         def chunks():
             for row in _gathered(batches):
                 chosen = np.flatnonzero(~row["held_out"].astype(bool))
-                yield row["symbols"], row["sizes"], chosen[round_::settings.rounds]
+                yield row["symbols"], row["ranks"], row["sizes"], chosen[round_::settings.rounds]
 
-        model = Model(settings, shared.value)
+        model = Model(settings, shared.value, in_bands)
         tokens = train(model, settings, chunks())
         if tokens:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([tokens], pa.int64()),
-                 pa.array([model.flat.astype("<f4").tobytes()], pa.binary())], names=["part", "tokens", "weights"])
+                 pa.array([(model.flat - shared.value).astype("<f2").tobytes()], pa.binary())], names=["part", "tokens", "weights"])
 
-    return ready.select("held_out", "sizes", "symbols").mapInArrow(run, "part long, tokens long, weights binary")
+    return ready.select("held_out", "sizes", "symbols", "ranks").mapInArrow(run, "part long, tokens long, weights binary")
 
 
-def _scored(ready: DataFrame, settings: Settings, flat: np.ndarray, total: int) -> DataFrame:
+def _scored(ready: DataFrame, settings: Settings, flat: np.ndarray, in_bands: np.ndarray, total: int) -> DataFrame:
     shared = ready.sparkSession.sparkContext.broadcast(flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(settings, shared.value)
+        model = Model(settings, shared.value, in_bands)
         for row in _gathered(batches):
-            score = log_likelihood(model, settings, row["symbols"], row["sizes"]) / np.log(10) + row["inner"]
+            score = log_likelihood(model, settings, row["symbols"], row["ranks"], row["sizes"]) / np.log(10) + row["inner"]
             yield pa.RecordBatch.from_arrays([
                 pa.array(row["doc_ids"], pa.int64()), pa.array(row["held_out"].astype(bool)), pa.array(row["sizes"]),
                 pa.array(row["known"]), pa.array(np.full(len(score), total)), pa.array(row["base"]), pa.array(score),

@@ -404,3 +404,33 @@ def test_language_model_is_a_distribution():
     hidden = np.random.default_rng(0).normal(size=(1, model.h)).astype(np.float32)
     logp = model.output(np.repeat(hidden, SYMBOLS, axis=0), np.arange(SYMBOLS), None)
     assert HEAD_CLASSES and abs(np.exp(logp.astype(np.float64)).sum() - 1) < 1e-4
+
+
+def test_language_model_knows_every_counted_word(spark):
+    """More words than have symbols: two words of one band, exchanged, change a text's score."""
+    common = " ".join(f"c{i}" for i in range(1100))
+    rare = [f"r{i}" for i in range(120)]
+    texts = [common] * 30 + [" ".join(rare)] * 5 + ["c1 r7 c2 c3 r90 c4 c5", "c1 r90 c2 c3 r7 c4 c5"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    scored = {r.doc_id: r for r in score_documents(frame, held_fold=8).collect()}
+    one, other = scored[len(texts) - 2], scored[len(texts) - 1]
+    assert one.base_score == pytest.approx(other.base_score) and abs(one.score - other.score) > 1e-4
+
+
+def test_language_model_bands_are_distributions():
+    from maskwright.llm.gated_model import BANDS, Model
+
+    sizes = np.zeros(BANDS, np.int64)
+    sizes[:6] = 1, 2, 3, 64, 1000, 1025
+    model = Model(Settings(), in_bands=sizes)
+    rng = np.random.default_rng(0)
+    hidden = rng.normal(size=(1, model.h)).astype(np.float32)
+    for learnt in (False, True):
+        for band, n in enumerate(sizes[:6].tolist()):
+            logp = model.within(np.repeat(hidden, n, axis=0), np.full(n, band), np.arange(n, dtype=np.uint32), learn=False)
+            assert abs(np.exp(logp).sum() - 1) < 1e-4
+            assert learnt or np.allclose(logp, -math.log(n), atol=1e-4)
+            assert not learnt or n < 64 or len(set(logp.round(6).tolist())) > n / 2
+        model.parts["nodes"][:] = rng.normal(size=model.parts["nodes"].shape)
+    before = model.within(hidden, np.array([4]), np.array([17], np.uint32), learn=True)[0]
+    assert model.within(hidden, np.array([4]), np.array([17], np.uint32), learn=False) > before
