@@ -512,7 +512,8 @@ def train(model: Model, settings: Settings, chunks: Iterator[tuple[np.ndarray, .
     """Run over (symbols, ranks, sizes, chosen documents) chunks with Adam; the number of tokens learned from.
 
     Gradients add up until they are of half a full window's tokens, so the few lanes left at the end of a chunk, those of
-    its longest document, weigh no more than others.
+    its longest document, weigh no more than others. What has gathered at the end is applied too, so that every token
+    counted is one learned from.
     """
     dense = model.flat[:model.dense]
     first, second = np.zeros_like(dense), np.zeros_like(dense)
@@ -554,6 +555,8 @@ def train(model: Model, settings: Settings, chunks: Iterator[tuple[np.ndarray, .
             tokens, gathered = tokens + n, gathered + n
             if 2 * gathered >= settings.lanes * settings.window:
                 apply()
+    if gathered:
+        apply()
     return tokens
 
 

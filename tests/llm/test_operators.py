@@ -434,3 +434,28 @@ def test_language_model_bands_are_distributions():
         model.parts["nodes"][:] = rng.normal(size=model.parts["nodes"].shape)
     before = model.within(hidden, np.array([4]), np.array([17], np.uint32), learn=True)[0]
     assert model.within(hidden, np.array([4]), np.array([17], np.uint32), learn=False) > before
+
+
+def test_language_model_learns_from_every_token():
+    """A task of fewer tokens than half a window of full lanes, and the last ones of a larger task."""
+    from maskwright.llm.gated_model import NONE, Model, train
+
+    few = np.arange(300, dtype=np.int32) % 7
+    model, start = Model(Settings()), Model(Settings())
+    none = np.full(300, NONE, np.uint32)
+    assert train(model, Settings(), iter([(few, none, np.array([100, 200]), np.arange(2))])) == 300
+    assert not np.array_equal(model.flat[:model.dense], start.flat[:start.dense])
+
+
+def test_language_model_learns_order_as_registered(spark):
+    rng = random.Random(3)
+    texts = []
+    for _ in range(12000):
+        at, out = rng.randrange(40), []
+        for _ in range(60):
+            out.append(f"w{at}")
+            at = (at * 7 + 3) % 40 if rng.random() < 0.9 else rng.randrange(40)
+        texts.append(" ".join(out))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    scored = [r for r in score_documents(frame).collect() if r.held_out]
+    assert sum(r.score for r in scored) > 0.5 * sum(r.base_score for r in scored)
