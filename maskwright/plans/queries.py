@@ -630,6 +630,27 @@ def convert_and_sanitise(spark, sf):
     return convert(corpora.page_text(spark, sf).withColumns(plain), max_pages=2).text
 
 
+@query("convert_and_sanitise_unicode")
+def convert_and_sanitise_unicode(spark, sf):
+    """convert_and_sanitise on the pages as they are; beyond the SQL engine's word edges, so tests hold it against plain regexes."""
+    return convert(corpora.page_text(spark, sf), max_pages=2).text
+
+
+def _unicode_document_detector(name: str) -> None:
+    @query(f"detect_{name}_documents_unicode")
+    def run(spark, sf):
+        return detect(corpora.documents(spark, sf), name).drop("ord")
+
+
+for _name in ["phone", "address", "any_street", "place", "context_place", "name"]:
+    _unicode_document_detector(_name)
+
+
+@query("resolve_overlaps_documents_unicode")
+def resolve_overlaps_documents_unicode(spark, sf):
+    return detect_all(corpora.documents(spark, sf)).select(*SPAN_COLUMNS)
+
+
 # --- streams -----------------------------------------------------------------
 
 def _note_stream(spark: SparkSession, sf: str) -> DataFrame:
