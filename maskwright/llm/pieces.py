@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import ship
-from .texts import BASE, BASE_INVERSE, U64, mix, powers, raw, slices
+from .texts import BASE, BASE_INVERSE, U64, byte_hashes, mix, powers, raw, slices
 
 #: Bytes of text whose words walk together.
 TOGETHER = 500_000
@@ -261,8 +261,7 @@ def sample(vocabulary: Vocabulary, texts: pa.Array, keys: np.ndarray, k: int) ->
     cut[bounds[:-1][filled]] = True
     start = np.flatnonzero(cut)
     stop = np.r_[start[1:], len(spaced)]
-    prefix = _prefix(spaced)
-    _, which, word = np.unique(_hash(prefix, start, stop), return_index=True, return_inverse=True)
+    _, which, word = np.unique(byte_hashes(spaced, start, stop), return_index=True, return_inverse=True)
     size = (stop - start)[which]
     gather = np.repeat(start[which] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
     ends = np.cumsum(size)

@@ -59,6 +59,9 @@ def corpus():
             copy[at] = rng.choice(vocabulary)
         texts.append(" ".join(copy))
     texts += [texts[8]] * 3 + ["spam spam " * 60, prose(6000), "x" * 5000, "é" * 260]
+    # Words whose polynomial hashes modulo 2 ** 64 are equal for every odd base.
+    folded = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    texts += [folded, folded.translate(str.maketrans("ab", "ba"))]
     rows = [(i * 3, t, "s", 7, "l", "b") for i, t in enumerate(texts)]
     rows += [rows[10], rows[10], (None, texts[12], None, None, None, None)]
     rng.shuffle(rows)
