@@ -6,18 +6,8 @@ signatures within `limit` differ in at most `limit // chunks` values of some chu
 chunk without each of its values in turn is a key, and such a pair shares one. So the keys find every pair within the
 limit, and the limit is set so that a pair of the asked similarity is beyond it with a probability of `MISS`.
 
-Links are confirmed on the full sets. As only components are asked for, no two documents known to be connected are ever
-compared again:
-
-1. every class against the smallest class it shares a key with, on the full sets;
-2. in each key, which pairs of different components are within the limit; of these only a spanning forest is kept, so
-   classes that may still be linked fall into clusters;
-3. each cluster in pairs of blocks, with the sets: all its pairs within the limit and in different components are
-   confirmed on the full sets, in the task, which returns only links that join what it has not joined yet. Blocks of one
-   large component are not paired with each other.
-
-After 3 every pair within the limit is confirmed, refused, or connected anyhow. Keys and clusters with many classes are
-dealt out as pairs of blocks, so no task holds more than two blocks and nothing is capped.
+Links are confirmed on the full sets, as far as components need it (see links.py); a pair beyond the signature limit is
+not looked at.
 
 Defined cases: null text, or text without words, has an empty set and is linked with nothing; a text with fewer words
 than a shingle is one shingle; rows with the same doc_id are one document; a null doc_id is linked with nothing and its
@@ -35,16 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import discard, ship, staged
-from .components import components
 from .line_dedup import text_key
+from .links import linked
 from .texts import U64, Words, mix, slices
 
 VALUES = 64
 BITS = 16
 #: Chance that one pair of exactly the asked similarity lies beyond the signature limit.
 MISS = 1e-6
-#: Classes in a block of a key or cluster with many.
-BLOCK = 1024
 
 _random = np.random.default_rng(20240607)
 _FACTORS = _random.integers(0, 1 << 63, VALUES, np.uint64) * U64(2) + U64(1)
@@ -152,142 +140,12 @@ def _keys(classes: DataFrame, limit: int) -> DataFrame:
         "node", F.explode("keys").alias("key"))
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Which of the pairs of places below n make a spanning forest of them all."""
-    parent = list(range(n))
-    keep = np.zeros(len(a), bool)
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        while parent[y] != y:
-            parent[y] = y = parent[parent[y]]
-        if x != y:
-            parent[y] = x
-            keep[i] = True
-    return keep
-
-
-def _streamed(rows: DataFrame, by: list[str], work, schema: str) -> DataFrame:
-    """work(table) on whole groups of `by`, several small ones at once, in one pass over sorted partitions."""
+def _near(limit: int):
+    def near(sketches: pa.ChunkedArray):
+        signature = np.frombuffer(b"".join(sketches.to_pylist()), "<u2").reshape(-1, VALUES)
+        return lambda a, b: np.count_nonzero(signature[a] != signature[b], axis=1) <= limit
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            # All but the last group of what has come is whole.
-            last = [batch.column(c)[-1].as_py() for c in by]
-            same = np.logical_and.reduce([batch.column(c).to_numpy() == v for c, v in zip(by, last, strict=True)])
-            start = int(np.argmax(same))
-            if held and (start or [held[-1].column(c)[-1].as_py() for c in by] != last):
-                yield work(pa.Table.from_batches([*held, batch.slice(0, start)]))
-                held = []
-            elif start:
-                yield work(pa.Table.from_batches([batch.slice(0, start)]))
-            held.append(batch.slice(start))
-        if held:
-            yield work(pa.Table.from_batches(held))
-
-    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
-
-
-def _signature_rows(rows: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(rows.column("signature").to_pylist()), "<u2").reshape(rows.num_rows, VALUES)
-
-
-def _close_forest(members: DataFrame, limit: int) -> DataFrame:
-    """A spanning forest (a, b) of each key's pairs in different components and within the limit.
-
-    members: key, node, label, signature.
-    """
-    sizes = members.groupBy("key").agg(F.count("*").alias("n_key")).withColumn(
-        "blocks", F.ceil(F.col("n_key") / BLOCK).cast("int"))
-    dealt = members.join(sizes, "key").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "signature")
-
-    def work(rows: pa.Table) -> pa.RecordBatch:
-        n = rows.num_rows
-        key, i, j, node, label = (rows.column(c).to_numpy() for c in ("key", "i", "j", "node", "label"))
-        signature = _signature_rows(rows)
-        found, at, step = [], np.arange(n), 0
-        while True:
-            step += 1
-            at = at[at + step < n]
-            at = at[(key[at] == key[at + step]) & (i[at] == i[at + step]) & (j[at] == j[at + step])]
-            if not len(at):
-                break
-            a = at[label[at] != label[at + step]]
-            near = np.count_nonzero(signature[a] != signature[a + step], axis=1) <= limit
-            found.append(np.stack([a[near], a[near] + step]))
-        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        keep = _forest(a, b, n)
-        a, b = node[a[keep]], node[b[keep]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return _streamed(dealt, ["key", "i", "j"], work, "a long, b long").distinct()
-
-
-def _confirmed_in_clusters(members: DataFrame, limit: int, percent: int) -> DataFrame:
-    """Links (a, b) on the full sets that join the components of each cluster.
-
-    members: cluster, node, label, signature, shingles. Blocks hold one large component, or many small ones.
-    """
-    of_label = members.groupBy("cluster", "label").agg(F.count("*").alias("n"))
-    large = F.col("n") > BLOCK // 2
-    small = of_label.where(~large).groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).alias("n_shared"))
-    placed = of_label.join(small, "cluster", "left").select(
-        "cluster", "label", F.when(large, F.col("label")).alias("own"),
-        F.when(large, F.ceil(F.col("n") / BLOCK)).otherwise(F.col("n_shared")).cast("int").alias("many"))
-    blocks = placed.select("cluster", "own", "many").distinct().select(
-        "cluster", "own", F.explode(F.expr("sequence(0, many - 1)")).alias("block"))
-    one, two = blocks.alias("p"), blocks.alias("q")
-    code = "struct({0}.own is not null, {0}.own, {0}.block)"
-    pairs = one.join(two, F.expr("p.cluster = q.cluster and not (p.own is not null and p.own <=> q.own)")).where(
-        F.expr(f"{code.format('p')} <= {code.format('q')}"))
-    pairs = pairs.select(
-        F.col("p.cluster").alias("cluster"), F.expr("xxhash64(p.own, p.block, q.own, q.block)").alias("pair"),
-        F.explode(F.expr("array_distinct(array(struct(p.own, p.block), struct(q.own, q.block)))")).alias("x")
-    ).select("cluster", "pair", "x.own", "x.block")
-    located = members.join(placed, ["cluster", "label"]).withColumn("block", F.expr(
-        "cast(pmod(if(own is null, xxhash64(label), xxhash64(node)), many) as int)")).alias("m")
-    dealt = located.join(pairs.alias("r"), F.expr(
-        "m.cluster = r.cluster and m.own <=> r.own and m.block = r.block")).select(
-        "m.cluster", "r.pair", "m.node", "m.label", "m.signature", "m.shingles")
-
-    def work(rows: pa.Table) -> pa.RecordBatch:
-        rows = rows.combine_chunks()
-        cluster, pair, node, label = (rows.column(c).to_numpy() for c in ("cluster", "pair", "node", "label"))
-        signature = _signature_rows(rows)
-        sets = rows.column("shingles").chunk(0)
-        offsets = sets.offsets.to_numpy().astype(np.int64)
-        offsets = offsets - offsets[0]
-        _, shingle = np.unique(sets.flatten().to_numpy(), return_inverse=True)
-        size = np.diff(offsets)
-        mark = np.zeros(int(shingle.max(initial=0)) + 1, bool)
-        cut = np.flatnonzero(np.r_[True, (np.diff(cluster) != 0) | (np.diff(pair) != 0)])
-        links = []
-        for low, high in zip(cut, np.r_[cut[1:], len(node)], strict=True):
-            _, joined = np.unique(label[low:high], return_inverse=True)  # the component of each, as joined so far
-            for x in range(low, high - 1):
-                y = np.flatnonzero(joined[x - low + 1:] != joined[x - low]) + x + 1
-                y = y[np.count_nonzero(signature[y] != signature[x], axis=1) <= limit]
-                if not len(y):
-                    continue
-                mark[shingle[offsets[x]:offsets[x + 1]]] = True
-                # The sets of all y, one after the other.
-                begin = np.cumsum(size[y]) - size[y]
-                flat = shingle[np.arange(int(size[y].sum())) + np.repeat(offsets[y] - begin, size[y])]
-                common = np.add.reduceat(mark[flat].astype(np.int64), begin)
-                mark[shingle[offsets[x]:offsets[x + 1]]] = False
-                for other in y[100 * common >= percent * (size[x] + size[y] - common)].tolist():
-                    if joined[other - low] != joined[x - low]:
-                        links.append((node[x], node[other]))
-                        joined[joined == joined[other - low]] = joined[x - low]
-        a, b = np.array(links, np.int64).reshape(-1, 2).T
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    return _streamed(dealt, ["cluster", "pair"], work, "a long, b long")
+    return near
 
 
 def near_duplicates(
@@ -316,28 +174,10 @@ def near_duplicates(
     texts = wanted.join(
         holders.select(F.col("node").alias("doc_id"), "text_key", "set_key"), ["doc_id", "text_key"])
     # Equal rows give equal sets, which do no harm below.
-    sets = staged(_set_rows(texts, shingle), "sets")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-        right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
-        return both.where(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
-
-    first = members.where("node <> leader").groupBy("node").agg(F.min("leader").alias("a")).select(
-        "a", F.col("node").alias("b"))
-    links = staged(confirmed(first), "confirmed")
-    labels = components(links)
-    labelled = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l < m")
-    rest = staged(labelled.join(open_keys.select("key"), "key", "left_semi"), "open")
-    signatures = classes.select("node", "signature")
-    found_clusters = components(_close_forest(rest.join(signatures, "node"), limit))
-    clusters = found_clusters.withColumnRenamed("label", "cluster")
-    described_sets = classes.select("node", "set_key", "signature").join(sets, ["node", "set_key"])
-    within = clusters.join(rest.select("node", "label").distinct(), "node").join(described_sets, "node")
-    more = staged(_confirmed_in_clusters(within, limit, percent), "confirmed")
-    before, labels = labels, components(links.union(more))
+    described_sets = _set_rows(texts, shingle).join(
+        classes.select("node", "set_key", F.col("signature").alias("sketch")), ["node", "set_key"])
+    sets = staged(described_sets.select("node", F.size("elements").alias("size"), "sketch", "elements"), "sets")
+    labels = linked(members, sets, _near(limit), percent)
     of_class = classes.select("set_key", "node").join(labels, "node", "left").select(
         "set_key", F.coalesce("label", "node").alias("label"))
     done = described.join(of_class, "set_key", "left").select(
@@ -347,21 +187,21 @@ def near_duplicates(
     result = staged(done.select(
         "doc_id", "text_key", "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")), "near")
-    discard(described, classes, members, sets, links, before, rest, found_clusters, more, labels)
+    discard(described, classes, members, sets, labels)
     return result
 
 
 def _set_rows(texts: DataFrame, size: int) -> DataFrame:
-    """(node, set_key, shingles): the whole set as 64-bit hashes."""
+    """(node, set_key, elements): the whole set as 64-bit hashes."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         shingle, offsets = _sets(Words(part.column("text")), size)
         return pa.RecordBatch.from_arrays(
             [part.column("doc_id"), part.column("set_key"),
              pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(shingle.view(np.int64)))],
-            names=["node", "set_key", "shingles"])
+            names=["node", "set_key", "elements"])
 
-    return _each_text(texts.select("doc_id", "set_key", "text"), run, "node long, set_key binary, shingles array<long>")
+    return _each_text(texts.select("doc_id", "set_key", "text"), run, "node long, set_key binary, elements array<long>")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .contamination import contamination
 from .gated_model import score_documents
+from .jaccard_join import jaccard_join
 from .line_dedup import drop_lines
 from .near_duplicates import near_duplicates
 from .perspectives import perspectives
@@ -209,6 +210,34 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(_read(spark, sf_dir, "documents"), shingle=5, percent=80)
+
+
+JACCARD_JOIN_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS s
+  FROM d, unnest(range(1, len(w) - least(len(w), 5) + 2)) u(i) WHERE len(w) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id
+  GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)
+), both_ways AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM d JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_perspectives": op2_perspectives,
@@ -220,6 +249,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_decontamination": op10_decontamination,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 
 ORACLE: dict[str, str] = {
@@ -229,4 +259,5 @@ ORACLE: dict[str, str] = {
     "op6_near_duplicates": NEAR_DUPLICATES_SQL,
     "op9_repeated_passages": REPEATS_SQL,
     "op10_decontamination": DECONTAMINATION_SQL,
+    "op13_jaccard_join": JACCARD_JOIN_SQL,
 }

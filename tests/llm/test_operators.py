@@ -13,15 +13,19 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from maskwright.llm import jaccard_join as jj
+from maskwright.llm import links
 from maskwright.llm import near_duplicates as nd
 from maskwright.llm.contamination import contamination, keep_clean
 from maskwright.llm.gated_model import Settings, score_documents
+from maskwright.llm.jaccard_join import jaccard_join
 from maskwright.llm.line_dedup import drop_lines, keep_bitmaps
 from maskwright.llm.near_duplicates import keep_one, near_duplicates
 from maskwright.llm.pieces import encode_samples
 from maskwright.llm.quality import keep_good, quality
 from maskwright.llm.queries import tokenizer_file
 from maskwright.llm.repeats import remove_repeats
+from maskwright.llm.texts import U64
 from maskwright.llm.token_files import encode_to_files, read_back
 from maskwright.llm.warc import read_archives, write_archives
 
@@ -172,7 +176,7 @@ def near_reference(rows, size, percent):
 
 @pytest.mark.parametrize(("size", "percent", "block"), [(3, 85, 1024), (3, 85, 4), (5, 80, 8)])
 def test_near_duplicates(docs, rows, empty, monkeypatch, size, percent, block):
-    monkeypatch.setattr(nd, "BLOCK", block)
+    monkeypatch.setattr(links, "BLOCK", block)
     want = near_reference(rows, size, percent)
     assert len({x for s in want.values() for _, x, _ in s}) < len(want) - 8  # there is something to find
     got = {}
@@ -184,6 +188,43 @@ def test_near_duplicates(docs, rows, empty, monkeypatch, size, percent, block):
         assert near_duplicates(empty).count() == keep_one(empty).count() == 0
 
 
+@pytest.mark.parametrize(("size", "percent", "packed"), [(5, 80, 1_500_000), (3, 70, 200), (2, 50, 1_500_000)])
+def test_jaccard_join(docs, rows, empty, monkeypatch, size, percent, packed):
+    monkeypatch.setattr(jj, "PACKED", packed)
+    monkeypatch.setattr(links, "BLOCK", 4)
+    want = {i: {x[:2] for x in s} for i, s in near_reference(rows, size, percent).items()}
+    assert len({x for s in want.values() for _, x in s}) < len(want) - 8
+    got = {}
+    for r in jaccard_join(docs, size, percent).collect():
+        got.setdefault(r.doc_id, set()).add((r.n_shingles, r.component_id))
+    assert got == want
+    if packed == 200:
+        assert jaccard_join(empty).count() == 0
+
+
+def test_similar_sets_share_a_signature():
+    """Pairs of every size, with as many differences as the similarity allows, spread at random or bunched."""
+    rng = np.random.default_rng(4)
+    for percent in (80, 90, 60):
+        pairs = []
+        for a in [*range(3, 60), 100, 127, 128, 300, 1000, 2600]:
+            for b in {a, a + 1, a * 100 // percent}:
+                extra = [x for x in range(b + 1) if 100 * (a - x) >= percent * (b + x)]  # of the first alone
+                if not extra or (b == a and max(extra) == 0):
+                    continue
+                x = max(extra)
+                features = np.unique(rng.integers(0, 1 << 63, 2 * (a + b) + 9, np.uint64) * U64(2))
+                features = rng.permutation(features) if a % 2 else features  # else differences lie next to each other
+                one, two = features[:a], np.r_[features[x:a], features[a:a + b - a + x]]
+                assert 100 * len(np.intersect1d(one, two)) >= percent * len(np.union1d(one, two))
+                pairs += [np.sort(one), np.sort(two)]
+        offsets = np.r_[0, np.cumsum([len(p) for p in pairs])]
+        which, key = jj.signatures(np.concatenate(pairs), offsets, percent)
+        of = [set(key[which == i].tolist()) for i in range(len(pairs))]
+        for i in range(0, len(pairs), 2):
+            assert of[i] & of[i + 1] or np.array_equal(pairs[i], pairs[i + 1])
+
+
 def test_signature_limit_and_chunks():
     for percent in (80, 85, 95):
         limit = nd.limit_of(percent)
