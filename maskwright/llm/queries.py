@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import conversations
 from .contamination import contamination
 from .gated_model import score_documents
 from .jaccard_join import jaccard_join
@@ -210,6 +211,99 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(_read(spark, sf_dir, "conversations"))
+
+
+def _crc32(text: str) -> str:
+    """SQL: crc32 of an ASCII text, four bits at a time."""
+    table = list(range(16))
+    for _ in range(4):
+        table = [(x >> 1) ^ (0xEDB88320 if x & 1 else 0) for x in table]
+
+    def step(value: str) -> str:
+        return f"xor(({value}) >> 4, ({table})[(({value}) & 15) + 1])"
+
+    folded = (f"list_reduce(list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT), "
+              f"lambda c, b: {step(step('xor(c, b)'))}, 4294967295::BIGINT)")
+    return f"xor({folded}, 4294967295)"
+
+
+def _repair_steps() -> str:
+    """SQL values (p, edit, initial, q, cost, audit): inserts, then one edit of a row, from state p to q."""
+    rows = []
+    for p in conversations.NEXT:
+        state, cost, audit = p, 0, ""
+        for _ in range(3):  # more inserts only come back to a state
+            rows.append((p, "D", "", state, cost + 3, audit + "D"))
+            for initial, after in conversations.NEXT[state].items():
+                rows.append((p, "K", initial, after, cost, audit + "K"))
+                if initial != "s":
+                    rows.append((p, "R", "", after, cost + 2, audit + "R"))
+            state, cost, audit = 3 if state == 2 else 2, cost + 2, audit + "I"
+    return ", ".join(map(str, rows))
+
+
+CONVERSATION_REPAIR_SQL = rf"""
+WITH RECURSIVE kinds AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM kinds, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) u(copy) WHERE kind <> 0
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS nr,
+         rtrim(text, E' 	
+') AS ending, substr(role, 1, 1) AS initial FROM damaged
+), facts AS (
+  SELECT *, CASE WHEN ending = '' THEN 'b'
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY nr) > 1 THEN 'd'
+                 WHEN right(ending, 1) NOT IN ('.', '!', '?') THEN 't' ELSE 'k' END AS fault,
+         coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY nr) || initial NOT IN ('su', 'ua', 'au'), false) AS wrong
+  FROM numbered
+), counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (wrong) AS illegal
+  FROM facts GROUP BY conv_id
+), steps(p, edit, need, q, cost, audit) AS (
+  VALUES {_repair_steps()}
+), ways(conv_id, nr, q, cost, audit) AS (
+  SELECT conv_id, 0::BIGINT, 0, 0::BIGINT, '' FROM counts
+  UNION ALL
+  SELECT w.conv_id, w.nr + 1, s.q, min(w.cost + s.cost + (s.edit <> 'D' AND fault = 't')::BIGINT),
+         arg_min(w.audit || s.audit, {{'c': w.cost + s.cost + (s.edit <> 'D' AND fault = 't')::BIGINT, 'a': w.audit || s.audit}})
+  FROM ways w JOIN facts f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.nr = w.nr
+  JOIN steps s ON s.p = w.q AND (s.edit = 'D' OR fault IN ('k', 't') AND (s.edit = 'R' OR s.need = f.initial))
+  GROUP BY w.conv_id, w.nr + 1, s.q
+), ended AS (
+  SELECT w.conv_id, min({{'c': w.cost + e.cost, 'a': w.audit || e.audit}}) AS best
+  FROM ways w JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.nr
+  JOIN (VALUES (0, 0, ''), (1, 4, 'II'), (2, 2, 'I'), (3, 0, '')) e(q, cost, audit) ON e.q = w.q GROUP BY w.conv_id
+), edits AS (
+  SELECT conv_id, i, best.a[i] AS edit, length(replace(best.a[:i - 1], 'I', '')) AS nr, length(replace(best.a[:i], 'D', '')) AS place
+  FROM ended, unnest(range(1, length(best.a) + 1)) u(i)
+), kept AS (
+  SELECT e.conv_id, i, edit, place, role, text,
+         bool_or(place = 1 AND edit = 'K' AND initial = 's') OVER (PARTITION BY e.conv_id)::INT AS system
+  FROM edits e LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.nr = e.nr AND edit <> 'I' WHERE edit <> 'D'
+), rebuilt AS (
+  SELECT conv_id, sha256(string_agg(
+           CASE WHEN edit = 'K' THEN role WHEN (place - system) % 2 = 1 THEN 'user' ELSE 'assistant' END
+           || ':' || coalesce(text, ''), E'
+' ORDER BY i)) AS sha FROM kept GROUP BY conv_id
+)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost,
+       coalesce(best.a, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM d.conv_id
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM d.conv_id
+LEFT JOIN rebuilt r ON r.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
+
+
 def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_read(spark, sf_dir, "documents"), shingle=5, percent=80)
 
@@ -249,6 +343,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_decontamination": op10_decontamination,
+    "op11_conversation_repair": op11_conversation_repair,
     "op13_jaccard_join": op13_jaccard_join,
 }
 
@@ -259,5 +354,6 @@ ORACLE: dict[str, str] = {
     "op6_near_duplicates": NEAR_DUPLICATES_SQL,
     "op9_repeated_passages": REPEATS_SQL,
     "op10_decontamination": DECONTAMINATION_SQL,
+    "op11_conversation_repair": CONVERSATION_REPAIR_SQL,
     "op13_jaccard_join": JACCARD_JOIN_SQL,
 }
