@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations
+from . import codebooks, conversations
 from .contamination import contamination
 from .gated_model import score_documents
 from .jaccard_join import jaccard_join
@@ -255,7 +255,8 @@ WITH RECURSIVE kinds AS (
 ), numbered AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS nr,
          rtrim(text, E' 	
-') AS ending, substr(role, 1, 1) AS initial FROM damaged
+
+') AS ending, substr(role, 1, 1) AS initial FROM damaged
 ), facts AS (
   SELECT *, CASE WHEN ending = '' THEN 'b'
                  WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY nr) > 1 THEN 'd'
@@ -304,6 +305,46 @@ LEFT JOIN rebuilt r ON r.conv_id IS NOT DISTINCT FROM d.conv_id
 """
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.with_label_errors(codebooks.compress(_read(spark, sf_dir, "embeddings")))
+
+
+def _vector_codes_sql() -> str:
+    parts, entries, rounds = codebooks.PARTS, codebooks.ENTRIES, codebooks.ROUNDS
+    steps = [f"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor({codebooks.SCALE} * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT vec_id, part, x[part * len(x) // {parts} + 1:(part + 1) * len(x) // {parts}] AS y FROM v, unnest(range({parts})) u(part)
+), c0 AS (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, y AS c FROM p
+  WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {entries})
+)"""]
+    for r in range(rounds + 1):
+        steps.append(f""", a{r} AS (
+  SELECT vec_id, p.part, any_value(y) AS y, min({{'d': list_inner_product(y, y) - 2 * list_inner_product(y, c) + list_inner_product(c, c), 'e': e}}) AS best
+  FROM p JOIN c{r} ON p.part = c{r}.part GROUP BY vec_id, p.part
+)""")
+        if r < rounds:
+            steps.append(f""", m{r} AS (
+  SELECT part, e, list(mean ORDER BY i) AS c FROM (
+    SELECT part, best.e AS e, i, floor(sum(y[i]) / count(*)) AS mean FROM a{r}, unnest(range(1, len(y) + 1)) u(i) GROUP BY ALL) GROUP BY ALL
+), c{r + 1} AS (
+  SELECT o.part, o.e, coalesce(m.c, o.c) AS c FROM c{r} o LEFT JOIN m{r} m ON m.part = o.part AND m.e = o.e
+)""")
+    steps.append(f""", coded AS (
+  SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id
+), labels AS (
+  SELECT label, sum(error)::BIGINT AS label_error FROM coded JOIN v USING (vec_id) GROUP BY label
+)
+SELECT coded.*, label_error, (SELECT sha256(string_agg(c[i]::BIGINT::VARCHAR, ',' ORDER BY part, e, i))
+                              FROM c{rounds}, unnest(range(1, len(c) + 1)) u(i)) AS codebooks_sha256
+FROM coded JOIN v USING (vec_id) JOIN labels ON labels.label IS NOT DISTINCT FROM v.label
+""")
+    return "".join(steps)
+
+
 def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_read(spark, sf_dir, "documents"), shingle=5, percent=80)
 
@@ -344,6 +385,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repeated_passages": op9_repeated_passages,
     "op10_decontamination": op10_decontamination,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_vector_codes": op12_vector_codes,
     "op13_jaccard_join": op13_jaccard_join,
 }
 
@@ -355,5 +397,6 @@ ORACLE: dict[str, str] = {
     "op9_repeated_passages": REPEATS_SQL,
     "op10_decontamination": DECONTAMINATION_SQL,
     "op11_conversation_repair": CONVERSATION_REPAIR_SQL,
+    "op12_vector_codes": _vector_codes_sql(),
     "op13_jaccard_join": JACCARD_JOIN_SQL,
 }
