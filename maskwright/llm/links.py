@@ -130,6 +130,37 @@ def _near_stars(members: DataFrame, near: Near) -> DataFrame:
     return streamed(_in_block_pairs(members, "key"), ["key", "pair"], work, "a long, b long").distinct()
 
 
+def with_partners(members: DataFrame, sketches: DataFrame, near: Near) -> DataFrame:
+    """key, node, leader of the members (key, node) that may have a link in their key. The table is staged.
+
+    In a key of a block at most every pair of sketches is looked at, and nodes near no other are dropped; larger keys stay
+    whole. sketches: node, sketch.
+    """
+
+    def work(rows: pa.Table) -> pa.RecordBatch:
+        n, key, node = rows.num_rows, rows.column("key").to_numpy(), rows.column("node").to_numpy()
+        close = near(rows.column("sketch"))
+        kept, at, step = np.zeros(n, bool), np.arange(n), 0
+        while True:
+            step += 1
+            at = at[at + step < n]
+            at = at[key[at] == key[at + step]]
+            if not len(at):
+                break
+            found = at[close(at, at + step)]
+            kept[found] = kept[found + step] = True
+        return pa.RecordBatch.from_arrays([pa.array(key[kept]), pa.array(node[kept])], names=["key", "node"])
+
+    sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sized = members.join(sizes, "key")
+    small = streamed(sized.where(F.col("n") <= BLOCK).drop("n").join(sketches, "node"), ["key"], work, "key long, node long")
+    left = staged(small.union(sized.where(F.col("n") > BLOCK).select("key", "node")), "left")
+    leaders = left.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("most")).where("leader < most")
+    found = staged(left.join(leaders.select("key", "leader"), "key").select("key", "node", "leader"), "members")
+    discard(left)
+    return found
+
+
 def _confirmed_in_clusters(members: DataFrame, near: Near, percent: int) -> DataFrame:
     """Links (a, b) on the full sets that join the components of each cluster.
 
