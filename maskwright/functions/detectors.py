@@ -11,7 +11,7 @@ from collections.abc import Callable
 from maskwright.functions import fixed
 from maskwright.functions.spans import (
     SPANS, alternation, any_of, empty, find, find_each, find_terms, has, let, lit, lits,
-    number, overlap, same_place, span, strip, u, window,
+    number, span, strip, u, window, without_overlaps, without_places,
 )
 
 # Necessary conditions, all linear in the text (possessive quantifiers).
@@ -136,10 +136,10 @@ def places(text: str) -> str:
     hits = f"transform({find(text, u(fixed.PREPOSITION_PLACE), group=1)}, x -> {made})"
     keep = (
         f"lower(p.text) not in ({lits(fixed.NOT_A_PLACE_AFTER_PREPOSITION)}) "
-        f"and p.text not in ({lits(fixed.PLACES)}) and length(p.text) >= 3 "
-        f"and not exists(known, k -> {same_place('k', 'p')})"
+        f"and p.text not in ({lits(fixed.PLACES)}) and length(p.text) >= 3"
     )
-    return let("known", known_places(text), number(f"concat(known, filter({hits}, p -> {keep}))"))
+    both = f"struct({known_places(text)} as known, filter({hits}, p -> {keep}) as hits)"
+    return let("at", both, number(f"concat(at.known, {without_places('at.hits', 'at.known')})"))
 
 
 def context_places(text: str) -> str:
@@ -309,10 +309,10 @@ def names_before_tokens(text: str) -> str:
 
 def context_names(text: str) -> str:
     """Names known from what follows them; earlier rules win over later ones."""
-    caps = f"filter({caps_names(text)}, c -> not exists(dated, d -> {overlap('d', 'c')}))"
-    tokens = f"filter({names_before_tokens(text)}, t -> not exists(seen, s -> {same_place('s', 't')}))"
-    return let("dated", names_before_dates(text), let(
-        "seen", f"concat(dated, {caps})", number(f"concat(seen, {tokens})")))
+    each = f"struct({names_before_dates(text)} as dated, {caps_names(text)} as caps, {names_before_tokens(text)} as tokens)"
+    return let("at", each, let(
+        "seen", f"concat(at.dated, {without_overlaps('at.caps', 'at.dated')})",
+        number(f"concat(seen, {without_places('at.tokens', 'seen')})")))
 
 
 # --- vehicles and roads ------------------------------------------------------
@@ -343,8 +343,8 @@ def vehicles(text: str) -> str:
     )
     made = span("x.start", "x.end", "x.text", "VEHICLE", 0.88, "vehicle", "x.start - 20", "x.end + 20")
     models = f"transform({find_terms(text, fixed.MODELS)}, x -> {made})"
-    outside = f"filter({models}, m -> not exists(brands, b -> {overlap('b', 'm')}))"
-    return let("brands", let("present", present, brands), number(f"concat(brands, {outside})"))
+    both = f"struct({let('present', present, brands)} as brands, {models} as models)"
+    return let("at", both, number(f"concat(at.brands, {without_overlaps('at.models', 'at.brands')})"))
 
 
 Detector = Callable[[str], str]

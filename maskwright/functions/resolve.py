@@ -8,21 +8,13 @@ runs inside an island and stays near-linear for a whole document.
 from __future__ import annotations
 
 from maskwright.functions import fixed
-from maskwright.functions.spans import SPAN, SPANS, empty, let, lit, overlap
-
-_ROW = f"struct<start:int,end:int,i:int,s:{SPAN}>"
+from maskwright.functions.spans import SPANS, cut, empty, let, lit, overlap, walk
 
 
 def _islands(spans: str) -> str:
     ordered = f"array_sort(transform({spans}, (s, i) -> struct(s.start as start, s.end as end, i as i, s as s)))"
-    step = (
-        "struct(greatest(acc.end, x.end) as end, "
-        "case when x.start >= acc.end then array(x) else concat(acc.cur, array(x)) end as cur, "
-        "case when x.start >= acc.end and size(acc.cur) > 0 then concat(acc.out, array(acc.cur)) "
-        "else acc.out end as out)"
-    )
-    first = f"struct(-1 as end, {empty(f'array<{_ROW}>')} as cur, {empty(f'array<array<{_ROW}>>')} as out)"
-    return f"aggregate({ordered}, {first}, (acc, x) -> {step}, acc -> concat(acc.out, array(acc.cur)))"
+    heads = walk("ordered", "-1", "greatest(acc.a, r.end)", "case when r.start >= acc.a then acc.n end", "int")
+    return let("ordered", ordered, cut("ordered", f"filter({heads}, h -> h is not null)"))
 
 
 def _greedy(island: str) -> str:

@@ -81,7 +81,7 @@ def window(text: str, start: str, end: str) -> str:
     return f"substring({text}, {low} + 1, greatest({end} - {low}, 0))"
 
 
-# Edits rewritten in one go.
+# Arrays longer than this are worked on in blocks of so many elements, so that time grows with their length.
 BLOCK = 64
 
 
@@ -90,6 +90,35 @@ def blocks(rows: str) -> str:
     return f"transform(sequence(0, (size({rows}) - 1) div {BLOCK}), b -> slice({rows}, b * {BLOCK} + 1, {BLOCK}))"
 
 
+def walk(rows: str, first: str, step: str, item: str, kind: str) -> str:
+    """``item`` of each row ``r`` of a variable, in order, with ``acc.a`` (an int) and ``acc.n`` (the row's index) before it.
+
+    ``first`` is what acc.a starts with, ``step`` what it becomes after r. Appending to an array copies it, so the items of
+    a block are gathered on their own, and time grows with the rows.
+    """
+    part = (
+        f"aggregate(part, struct(done.a as a, done.n as n, {empty(f'array<{kind}>')} as out), "
+        f"(acc, r) -> struct({step} as a, acc.n + 1 as n, concat(acc.out, array({item})) as out))"
+    )
+    first = f"struct({first} as a, 0 as n, {empty(f'array<array<{kind}>>')} as outs)"
+    return (
+        f"case when size({rows}) = 0 then {empty(f'array<{kind}>')} else aggregate({blocks(rows)}, {first}, (done, part) -> "
+        f"element_at(transform(array({part}), w -> struct(w.a as a, w.n as n, concat(done.outs, array(w.out)) as outs)), 1), "
+        "done -> flatten(done.outs)) end"
+    )
+
+
+def cut(rows: str, heads: str) -> str:
+    """An array variable cut before the elements with the indexes ``heads`` (the first of them 0)."""
+    return let("heads", heads, (
+        f"transform(heads, (h, j) -> slice({rows}, h + 1, coalesce(get(heads, j + 1), size({rows})) - h))"))
+
+
+def runs(rows: str, begins: str) -> str:
+    """An array variable cut where ``begins`` (of x and i) holds, and at its first element."""
+    return cut(rows, f"filter(transform({rows}, (x, i) -> case when i = 0 or {begins} then i end), h -> h is not null)")
+
+
 def _locate(text: str, found: str, regex: str, group: int | None, nr: str) -> str:
     """Offsets of the matches ``found`` of ``regex`` in ``text``."""
     gaps = f"transform(slice(split({text}, {regex}, -1), 1, size({found})), gap -> length(gap))"
@@ -100,16 +129,9 @@ def _locate(text: str, found: str, regex: str, group: int | None, nr: str) -> st
             f"zip_with(zip_with({found}, {gaps}, (m, g) -> struct(m, g)), "
             f"regexp_extract_all({text}, {regex}, {group}), (mg, grp) -> struct(mg.m as m, mg.g as g, grp as grp))"
         )
-    hit = (
-        "struct(acc.pos + r.g as start, acc.pos + r.g + length(r.m) as end, r.m as text, "
-        f"r.grp as grp, {nr} as nr)"
-    )
-    return (
-        f"case when size({found}) = 0 then {empty(FOUND)} else "
-        f"aggregate({rows}, struct(0 as pos, {empty(FOUND)} as out), "
-        f"(acc, r) -> struct(acc.pos + r.g + length(r.m) as pos, concat(acc.out, array({hit})) as out), "
-        "acc -> acc.out) end"
-    )
+    hit = f"struct(acc.a + r.g as start, acc.a + r.g + length(r.m) as end, r.m as text, r.grp as grp, {nr} as nr)"
+    located = walk("rows", "0", "acc.a + r.g + length(r.m)", hit, FOUND.removeprefix("array<").removesuffix(">"))
+    return f"case when size({found}) = 0 then {empty(FOUND)} else {let('rows', rows, located)} end"
 
 
 def has(text: str, *words: str) -> str:
@@ -153,12 +175,9 @@ def find_terms(text: str, terms: Iterable[str]) -> str:
     # the class of first characters rejects most word edges at once
     word = lit(u(rf"\b(?=[{heads}])(?=({words})\b)", ignore_case=True))
     # A match at position 0 leaves no piece in front of it.
-    first = f"case when size(pieces) = size(found) then array(0) else {empty('array<int>')} end"
-    starts = (
-        f"aggregate(slice(pieces, 1, size(pieces) - 1), struct(0 as pos, {first} as out), "
-        "(acc, p) -> struct(acc.pos + length(p) as pos, concat(acc.out, array(acc.pos + length(p))) as out), "
-        "acc -> acc.out)"
-    )
+    skipped = "if(size(pieces) = size(found), 0, 1)"
+    ends = walk("pieces", "0", "acc.a + length(r)", "acc.a", "int")
+    starts = f"slice({ends}, 1 + {skipped}, size(pieces) - {skipped})"
     hits = (
         f"zip_with({starts}, found, (s, w) -> struct(s as start, s + length(w) as end, w as text, "
         "cast(null as string) as grp, 0 as nr))"
@@ -198,6 +217,35 @@ def same_place(a: str, b: str) -> str:
     return f"({a}.start = {b}.start and {a}.end = {b}.end)"
 
 
+def without_overlaps(spans: str, others: str) -> str:
+    """The spans that overlap none of the others, in their order.
+
+    In order of the others' starts and the spans' ends, the largest end of the others so far tells.
+    """
+    marks = (
+        f"array_sort(concat(transform({spans}, (s, i) -> struct(s.end as at, 0 as other, i as i, s.start as start, -1 as reach, s as s)), "
+        f"transform({others}, (o, i) -> struct(o.start as at, 1 as other, i as i, o.start as start, o.end as reach, o as s))))"
+    )
+    free = "case when r.other = 0 and acc.a <= r.start then struct(r.i as i, r.s as s) end"
+    found = walk("marks", "-1", "greatest(acc.a, r.reach)", free, f"struct<i:int,s:{SPAN}>")
+    ordered = f"transform(array_sort(filter({let('marks', marks, found)}, f -> f is not null)), f -> f.s)"
+    return f"case when size({others}) = 0 or size({spans}) = 0 then {spans} else {ordered} end"
+
+
+def without_places(spans: str, others: str) -> str:
+    """The spans, of distinct places, that have the place of none of the others; sorted by place."""
+    marks = (
+        f"array_sort(concat(transform({spans}, s -> struct(s.start as start, s.end as end, 1 as own, s as s)), "
+        f"transform({others}, o -> struct(o.start as start, o.end as end, 0 as own, o as s))))"
+    )
+    own = "filter(marks, (x, i) -> x.own = 1 and not (i > 0 and get(marks, i - 1).own = 0 " \
+          "and get(marks, i - 1).start = x.start and get(marks, i - 1).end = x.end))"
+    return (
+        f"case when size({spans}) = 0 or size({others}) = 0 then {spans} "
+        f"else {let('marks', marks, f'transform({own}, m -> m.s)')} end"
+    )
+
+
 def one_per_position(spans: str) -> str:
     """Keep the first produced span of every (start, end); sorted by position."""
     keyed = f"array_sort(transform({spans}, s -> struct(s.start as start, s.end as end, s.ord as ord, s as s)))"

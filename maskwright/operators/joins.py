@@ -5,32 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot if it holds at least 1/HOT_SHARE of the rows, so there are never
-# more than HOT_SHARE hot keys.  Below HOT_ROWS rows a key fits any task.
-HOT_SHARE = 200
-HOT_ROWS = 1_000_000
 BLOCK = 1_000
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int | None = None) -> DataFrame:
     """Left join with a table that has one row per key.
 
-    Hot keys are counted (pre-aggregated) and joined with their at most
-    HOT_SHARE rows broadcast; all other keys go through the ordinary join.
-    Both parts together are the whole input.
+    A key is hot if it holds more rows than a shuffle partition on average (or than ``hot_rows``), so there are fewer hot
+    keys than partitions.
+    They are counted (aggregated before the shuffle), and their rows of ``right``, as few, are broadcast; all other keys
+    go through the ordinary join. Both parts together are the whole input, at any size.
     """
-    total = left.count()
-    threshold = max(hot_rows, total // HOT_SHARE + 1)
-    if total < threshold:
-        return left.join(right, keys, "left")
-    hot = left.groupBy(*keys).count().where(F.col("count") >= threshold).drop("count").collect()
+    spark = left.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = left.groupBy(*keys).count()
+    share = left.agg((F.lit(float(hot_rows)) if hot_rows else F.count("*") / partitions).alias("share"))
+    hot = counts.join(F.broadcast(share), F.col("count") > F.col("share")).select(*keys).collect()  # one row; < partitions
     if not hot:
         return left.join(right, keys, "left")
-    hot_keys = left.sparkSession.createDataFrame(hot, left.select(*keys).schema)  # <= HOT_SHARE rows
-    hot_right = right.join(F.broadcast(hot_keys), keys, "left_semi")
-    hot_left = left.join(F.broadcast(hot_keys), keys, "left_semi")
-    rest = left.join(F.broadcast(hot_keys), keys, "left_anti")
-    return hot_left.join(F.broadcast(hot_right), keys, "left").unionByName(rest.join(right, keys, "left"))
+    hot_keys = F.broadcast(spark.createDataFrame(hot, left.select(*keys).schema))
+    hot_right = F.broadcast(right.join(hot_keys, keys, "left_semi"))
+    spread_out = left.join(hot_keys, keys, "left_semi").join(hot_right, keys, "left")
+    return spread_out.unionByName(left.join(hot_keys, keys, "left_anti").join(right, keys, "left"))
 
 
 def _in_blocks(spans: DataFrame, size: int) -> DataFrame:

@@ -22,11 +22,6 @@ SCHEMA = (
     "scope bigint, placeholder string, category string, num int, norm string, canonical string, "
     "variations array<string>, occurrences bigint"
 )
-# Above this many entities one numbering window per category would be too big.
-WINDOW_ROWS = 2_000_000
-BLOCKS = 256
-
-
 def with_norm(spans: DataFrame) -> DataFrame:
     return spans.withColumn("norm", F.expr(normalise("text", "category")))
 
@@ -50,40 +45,41 @@ def entities(spans: DataFrame, scope: str = CORPUS, doc: str = "doc_id") -> Data
     )
 
 
+def _ranked(found: DataFrame, partitions: int | None) -> DataFrame:
+    """Entities with ``num``: their rank in their category by first document and position.
+
+    They are range-partitioned and sorted; a row's rank is its place in its partition's part of the category plus the rows
+    of that category in the partitions before. Only counts by (category, partition) meet in a window, so neither a
+    category nor a document is too large.
+    """
+    order = ["category", "first_doc", "first_back"]
+    ranged = found.repartitionByRange(partitions, *order) if partitions else found.repartitionByRange(*order)
+    placed = stage(ranged.sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))
+    starts = placed.groupBy("category", "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    earlier = Window.partitionBy("category").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select("category", "_part", "_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_base"))
+    return (
+        placed.join(starts, ["category", "_part"])
+        .withColumn("num", F.col("_base") + F.col("_at") - F.col("_first") + 1)
+        .drop("_at", "_part", "_first", "_base")
+    )
+
+
 def number(found: DataFrame, scope: str = CORPUS, taken: DataFrame | None = None,
            blocks: int | None = None) -> DataFrame:
     """Give entities their placeholders.
 
-    ``taken`` (category, top) holds numbers already used.  Large corpora are
-    numbered in two passes: entities are cut into blocks of first documents,
-    block sizes become offsets, and only blocks are sorted.  The numbers are
-    the same as those of one window.
+    ``taken`` (category, top) holds numbers already used; ``blocks`` is the number of range partitions of a corpus (by
+    default the session's).
     """
-    order = ["first_doc", "first_back"]
     if scope == DOCUMENT:
-        ranked = found.withColumn("num", F.row_number().over(Window.partitionBy("scope", "category").orderBy(*order)))
+        window = Window.partitionBy("scope", "category").orderBy("first_doc", "first_back")
+        ranked = found.withColumn("num", F.row_number().over(window))
     else:
-        if blocks is None:
-            found = stage(found, "entities")
-            blocks = 1 if found.count() <= WINDOW_ROWS else BLOCKS
-        if blocks == 1:
-            ranked = found.withColumn("num", F.row_number().over(Window.partitionBy("category").orderBy(*order)))
-        else:
-            cuts = [i / blocks for i in range(1, blocks)]
-            bounds = found.agg(F.percentile_approx("first_doc", cuts, 10_000)).first()[0] or []
-            edges = ", ".join(f"{int(b)}L" for b in sorted(set(bounds)))
-            block = f"size(filter(array({edges}), b -> first_doc >= b))" if edges else "0"
-            cut = found.withColumn("block", F.expr(block))
-            sizes = cut.groupBy("category", "block").agg(F.count("*").alias("rows"))
-            earlier = Window.partitionBy("category").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-            offsets = sizes.select("category", "block", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("base"))
-            local = F.row_number().over(Window.partitionBy("category", "block").orderBy(*order))
-            # offsets: at most one row per category and block
-            ranked = cut.join(F.broadcast(offsets), ["category", "block"]).withColumn("num", F.col("base") + local)
+        ranked = _ranked(found, blocks)
     if taken is not None:
-        # taken: one row per category
-        ranked = ranked.join(F.broadcast(taken), "category", "left").withColumn(
-            "num", F.col("num") + F.coalesce(F.col("top"), F.lit(0)))
+        ranked = ranked.join(taken, "category", "left").withColumn("num", F.col("num") + F.coalesce(F.col("top"), F.lit(0)))
     return (
         ranked.withColumn("num", F.col("num").cast("int"))
         .withColumn("placeholder", F.expr(placeholder("category", "num")))
@@ -95,24 +91,30 @@ def build_mapping(spans: DataFrame, scope: str = CORPUS, blocks: int | None = No
     return number(entities(spans, scope), scope, blocks=blocks)
 
 
-def extend_mapping(mapping: DataFrame, spans: DataFrame, blocks: int | None = None) -> DataFrame:
-    """Corpus mapping after further documents: known values count up and collect
-    forms, new ones are numbered after the highest number of their category."""
-    found = stage(entities(spans), "entities")
-    known = found.select("norm", F.col("variations").alias("_forms"), F.col("occurrences").alias("_n"))
-    updated = mapping.join(known, "norm", "left").select(
+def extension(known: DataFrame, found: DataFrame, taken: DataFrame, blocks: int | None = None) -> DataFrame:
+    """The rows that further entities change or add: ``known`` values count up and collect forms, the others are numbered
+    after the highest number of their category. known: mapping rows with a norm; found: see ``entities``."""
+    more = found.select("norm", F.col("variations").alias("_forms"), F.col("occurrences").alias("_n"))
+    updated = known.join(more, "norm").select(
         *[c for c in COLUMNS if c not in ("variations", "occurrences")],
-        F.when(F.col("_n").isNull(), F.col("variations"))
-        .otherwise(F.array_sort(F.array_union("variations", "_forms"))).alias("variations"),
-        (F.col("occurrences") + F.coalesce(F.col("_n"), F.lit(0))).alias("occurrences"),
+        F.array_sort(F.array_union("variations", "_forms")).alias("variations"),
+        (F.col("occurrences") + F.col("_n")).alias("occurrences"),
     )
-    fresh = found.join(mapping.select("norm"), "norm", "left_anti")
-    taken = mapping.groupBy("category").agg(F.max("num").alias("top"))
-    if blocks is None:
-        blocks = 1 if found.count() <= WINDOW_ROWS else BLOCKS
+    fresh = found.join(known.select("norm"), "norm", "left_anti")
     return updated.select(*COLUMNS).unionByName(number(fresh, CORPUS, taken, blocks))
 
 
+def highest(mapping: DataFrame) -> DataFrame:
+    return mapping.groupBy("category").agg(F.max("num").alias("top"))
+
+
+def extend_mapping(mapping: DataFrame, spans: DataFrame, blocks: int | None = None) -> DataFrame:
+    """Corpus mapping after further documents."""
+    found = stage(entities(spans), "entities")
+    untouched = mapping.join(found.select("norm"), "norm", "left_anti").select(*COLUMNS)
+    return untouched.unionByName(extension(mapping, found, highest(mapping), blocks))
+
+
 def originals(tokens: DataFrame, mapping: DataFrame) -> DataFrame:
     """Main form of each placeholder in ``tokens`` (null if unknown)."""
     return tokens.join(mapping.select("placeholder", "canonical"), "placeholder", "left")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.functions.spans import blocks, let
+from maskwright.functions.spans import BLOCK, blocks, let, runs
 from maskwright.functions.strategies import Strategy, get_strategy
 from maskwright.functions.text import join_broken_names, normalise, placeholder
 from maskwright.operators import mapping as maps
@@ -28,15 +28,21 @@ def rewrite(text: str, edits: str) -> str:
     """Replace disjoint spans, sorted by start, in one pass over the text.
 
     ``edits`` is an array of struct<start,end,value>."""
-    # A block's stretch of the text is cut out once; its pieces come from there.
+    def pieces(source: str, part: str, begin: str, offset: str) -> str:
+        before = f"case when i = 0 then {begin} else get({part}, i - 1).end end"
+        return (
+            f"array_join(transform({part}, (e, i) -> "
+            f"concat(substring({source}, {before} - {offset} + 1, e.start - {before}), e.value)), '')"
+        )
+
+    # Of many edits a block's stretch of the text is cut out once; its pieces come from there.
     begin = "case when k = 0 then 0 else element_at(get(parts, k - 1), -1).end end"
-    before = "case when i = 0 then begin else get(part, i - 1).end end"
-    pieces = let("begin", begin, let(
-        "stretch", f"substring({text}, begin + 1, element_at(part, -1).end - begin)",
-        f"array_join(transform(part, (e, i) -> concat(substring(stretch, {before} - begin + 1, e.start - {before}), e.value)), '')"))
+    cut = let("begin", begin, let(
+        "stretch", f"substring({text}, begin + 1, element_at(part, -1).end - begin)", pieces("stretch", "part", "begin", "begin")))
+    many = let("parts", blocks(edits), f"array_join(transform(parts, (part, k) -> {cut}), '')")
     return (
         f"case when {edits} is null or size({edits}) = 0 then {text} else "
-        f"concat({let('parts', blocks(edits), f"array_join(transform(parts, (part, k) -> {pieces}), '')")}, "
+        f"concat(case when size({edits}) <= {BLOCK} then {pieces(text, edits, '0', '0')} else {many} end, "
         f"substring({text}, element_at({edits}, -1).end + 1)) end"
     )
 
@@ -45,6 +51,11 @@ def prepare(docs: DataFrame, doc: str = "doc_id") -> DataFrame:
     return docs.select(F.col(doc).alias("doc_id"), F.expr(join_broken_names("text")).alias("text"))
 
 
+def with_spans(prepared: DataFrame, profile: Profile, skip_masked: bool) -> DataFrame:
+    """doc_id, text, spans. Steps are projections of their own: one expression of them all is nested too deep to analyse."""
+    return prepared.select("doc_id", "text", F.expr(resolved_spans("text", profile, skip_masked)).alias("spans"))
+
+
 # --- without a shuffle -------------------------------------------------------
 
 def sanitise(docs: DataFrame, strategy: str | Strategy = "redact", profile: Profile = "patterns",
@@ -55,44 +66,53 @@ def sanitise(docs: DataFrame, strategy: str | Strategy = "redact", profile: Prof
         raise ValueError(f"strategy {chosen.name!r} needs encode()")
     value = chosen.sql("s.text", "s.category")
     edits = f"transform(spans, s -> struct(s.start as start, s.end as end, {value} as value))"
-    out = let("spans", resolved_spans("text", profile, skip_masked), let("edits", edits, rewrite("text", "edits")))
-    return prepare(docs).select("doc_id", F.expr(out).alias("text"))
+    return (
+        with_spans(prepare(docs), profile, skip_masked).withColumn("edits", F.expr(edits))
+        .select("doc_id", F.expr(rewrite("text", "edits")).alias("text"))
+    )
+
 
+def numbered_entities(spans: str) -> str:
+    """Entities of one document, computed inside its row: array of struct<entry, members>.
 
-def document_entries(spans: str) -> str:
-    """Mapping of one document, computed inside its row: array of entries with
-    norm, category, num, placeholder, canonical, variations, occurrences."""
-    occ = (
-        f"transform(reverse({spans}), s -> struct(s.text as text, s.category as category, "
-        f"{normalise('s.text', 's.category')} as norm))"
+    ``entry`` has norm, category, num, placeholder, canonical, variations, occurrences; ``members`` are its spans. Spans of
+    one key lie together once they are sorted by it, so nothing is looked up.
+    """
+    keyed = (
+        f"array_sort(transform(reverse({spans}), (s, i) -> struct({normalise('s.text', 's.category')} as norm, i as i, "
+        "s.text as text, s.category as category, s.start as start, s.end as end)))"
+    )
+    firsts = (
+        "array_sort(transform(" + runs("keyed", "x.norm != get(keyed, i - 1).norm")
+        + ", g -> struct(g[0].i as i, g[0].category as category, g as g)))"
     )
-    firsts = "transform(array_distinct(transform(occ, o -> o.norm)), n -> get(filter(occ, o -> o.norm = n), 0))"
-    same = "filter(occ, o -> o.norm = f.norm)"
     entry = (
-        f"struct(f.norm as norm, c as category, i + 1 as num, {placeholder('c', 'i + 1')} as placeholder, "
-        f"f.text as canonical, array_sort(array_distinct(transform({same}, o -> o.text))) as variations, "
-        f"cast(size({same}) as bigint) as occurrences)"
+        f"struct(f.g[0].norm as norm, c as category, i + 1 as num, {placeholder('c', 'i + 1')} as placeholder, "
+        "f.g[0].text as canonical, array_sort(array_distinct(transform(f.g, o -> o.text))) as variations, "
+        "cast(size(f.g) as bigint) as occurrences)"
     )
+    # one pass for each category, of which there are few
     numbered = (
         "flatten(transform(array_distinct(transform(firsts, f -> f.category)), c -> "
-        f"transform(filter(firsts, f -> f.category = c), (f, i) -> {entry})))"
+        f"transform(filter(firsts, f -> f.category = c), (f, i) -> struct({entry} as entry, f.g as members))))"
     )
-    return let("occ", occ, let("firsts", firsts, numbered))
+    return let("keyed", keyed, let("firsts", firsts, numbered))
 
 
 def encode_each(docs: DataFrame, profile: Profile = "patterns", skip_masked: bool = True) -> DataFrame:
     """Placeholders with a fresh mapping per document; still one row in, one
     row out: doc_id, text, entries."""
-    key = normalise("s.text", "s.category")
-    edit = (
-        f"struct(s.start as start, s.end as end, "
-        f"{let('k', key, 'get(filter(entries, e -> e.norm = k), 0).placeholder')} as value)"
+    edits = (
+        "array_sort(flatten(transform(found, f -> transform(f.members, "
+        "m -> struct(m.start as start, m.end as end, f.entry.placeholder as value)))))"
+    )
+    found = f"case when size(spans) = 0 then null else {numbered_entities('spans')} end"
+    return (
+        with_spans(prepare(docs), profile, skip_masked)
+        .select("doc_id", "text", F.expr(found).alias("found"))
+        .select("doc_id", "text", F.expr(edits).alias("edits"), F.expr("transform(found, f -> f.entry)").alias("entries"))
+        .select("doc_id", F.expr(rewrite("text", "edits")).alias("text"), "entries")
     )
-    edits = f"transform(spans, s -> {edit})"
-    out = let("spans", resolved_spans("text", profile, skip_masked), let(
-        "entries", f"case when size(spans) = 0 then null else {document_entries('spans')} end", let(
-            "edits", edits, f"struct({rewrite('text', 'edits')} as text, entries as entries)")))
-    return prepare(docs).select("doc_id", F.expr(out).alias("o")).select("doc_id", "o.text", "o.entries")
 
 
 def entries_table(encoded: DataFrame) -> DataFrame:

@@ -471,8 +471,10 @@ _KEY = "0123456789abcdef"
 @query("encrypt_round_trip", _VALUES + "select v as value, category, v as restored, true as hidden from u")
 def encrypt_round_trip(spark, sf):
     sealed = stage(_values(spark, sf).withColumn("sealed", F.expr(encrypt(_KEY).sql("value", "category"))), "sealed")
-    return sealed.select("value", "category", F.expr(decrypt("sealed", _KEY)).alias("restored"),
-                         (~F.col("sealed").contains(F.col("value"))).alias("hidden"))
+    # The cipher is nonce, as many bytes as the value, and tag.
+    plain, cipher = F.col("value").cast("binary"), F.unbase64("sealed")
+    hidden = (F.length(cipher) == F.length(plain) + 28) & (cipher != plain)
+    return sealed.select("value", "category", F.expr(decrypt("sealed", _KEY)).alias("restored"), hidden.alias("hidden"))
 
 
 @query("strategy_replace_standalone", _VALUES + """select v as value, category,
@@ -675,3 +677,41 @@ def stream_encode(spark, sf):
     base = _run_folder(spark, "stream-encode")
     stream.encode_stream(_note_stream(spark, sf), f"{base}/mapping", f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.schema("doc_id bigint, text string").parquet(f"{base}/out").select("doc_id", "text")
+
+
+def _note_batches(spark: SparkSession, sf: str, base: str, batches: int = 4, files_each: int = 4) -> DataFrame:
+    """The notes as a stream of several batches of ascending orders, one set of files each."""
+    orders = corpora.table(spark, sf, "orders")
+    bounds = orders.agg(F.percentile_approx("o_orderkey", [i / batches for i in range(1, batches)], 10_000)).first()[0] or []
+    bounds = sorted(set(bounds))
+    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
+        part = orders if low is None else orders.where(F.col("o_orderkey") > low)
+        part = part if high is None else part.where(F.col("o_orderkey") <= high)
+        part.repartition(files_each, "o_orderkey").write.mode("append").parquet(f"{base}/orders")
+    stream_of = (
+        spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", files_each).parquet(f"{base}/orders"))
+    customers = corpora.table(spark, sf, "customer").select("c_custkey")
+    return stream_of.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_orderkey").alias("doc_id"), F.expr(corpora.NOTE).alias("text"))
+
+
+def _streamed_in_batches(spark: SparkSession, sf: str) -> str:
+    base = _run_folder(spark, "stream-batches")
+    # compacted once on the way, so that the mapping comes from a snapshot and the changes after it
+    stream.encode_stream(_note_batches(spark, sf, base), f"{base}/mapping", f"{base}/out", f"{base}/checkpoint",
+                         compact_every=3).awaitTermination()
+    return base
+
+
+@query("stream_encode_batches", ORACLE["encode_corpus"])
+def stream_encode_batches(spark, sf):
+    """Several batches with one carried mapping give what the whole corpus gives at once."""
+    base = _streamed_in_batches(spark, sf)
+    return spark.read.schema("doc_id bigint, text string").parquet(f"{base}/out").select("doc_id", "text")
+
+
+@query("stream_mapping_batches", ORACLE["mapping_corpus"])
+def stream_mapping_batches(spark, sf):
+    """The carried mapping after the last batch: a snapshot and the changes after it."""
+    base = _streamed_in_batches(spark, sf)
+    return flat_mapping(stream.MappingLog(spark, f"{base}/mapping").read(1 << 40))

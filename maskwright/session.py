@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,15 +29,60 @@ def staging_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[context.applicationId]
 
 
+# Paths of staged tables, by the owners that are open now (the last one owns).
+_OWNERS: list[list[tuple[SparkSession, str]]] = []
+
+
+def _at(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    system, where = _at(spark, path)
+    system.delete(where, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, where = _at(spark, path)
+    return system.exists(where)
+
+
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    system, where = _at(spark, path)
+    return [f.getPath().getName() for f in system.listStatus(where)] if system.exists(where) else []
+
+
+@contextmanager
+def staged_tables() -> Iterator[None]:
+    """Tables that are staged inside are deleted on leaving; write what is to stay before that.
+
+    Staged tables hold texts and values in clear. Those of no owner stay until the application ends, as results that are
+    not computed yet may read them.
+    """
+    _OWNERS.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _OWNERS.pop():
+            delete(spark, path)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the staging folder and read it back.
 
     Cuts the lineage at a durable table (a lost executor does not bring back
-    the regex work) and gives the optimizer real sizes for join decisions.
+    the regex work) and gives the optimizer real sizes for join decisions. The table is deleted by its owner (see
+    ``staged_tables``) or at the end of the application.
     """
     spark = df.sparkSession
     path = f"{staging_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _OWNERS:
+        _OWNERS[-1].append((spark, path))
     df.write.parquet(path)
+    system, where = _at(spark, path)
+    system.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
