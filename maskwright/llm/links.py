@@ -5,9 +5,9 @@ similarity of two sets from above, so a pair whose sketches are too far apart is
 asked for, no two nodes known to be connected are ever compared again:
 
 1. every node against the smallest node it shares a key with, on the full sets;
-2. in each key, the pairs of different components whose sketches are near; of what they connect only stars are kept (each
-   node with the least one that it reaches), so equal groups of different keys give equal stars, and nodes that may still
-   be linked fall into clusters;
+2. in each key, the pairs of different components whose sketches are near; components that such pairs connect, and so
+   all nodes that may still be linked, fall into one cluster. Of those that a task connects it tells a star alone, each
+   with the least that it reaches;
 3. each cluster in pairs of blocks, with the sets: all its near pairs in different components are confirmed on the full
    sets, in the task, which returns only links that join what it has not joined yet.
 
@@ -106,11 +106,15 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def _near_stars(members: DataFrame, near: Near) -> DataFrame:
-    """Stars (a, b) of what each key's near pairs in different components connect. members: key, node, label, size, sketch."""
+    """Stars (a, b) of the labels that near pairs of a key connect: each with the least one that it reaches in its task.
+
+    members: key, node, label, size, sketch.
+    """
 
     def work(rows: pa.Table) -> pa.RecordBatch:
         n = rows.num_rows
-        key, pair, node, label = (rows.column(c).to_numpy() for c in ("key", "pair", "node", "label"))
+        key, pair = (rows.column(c).to_numpy() for c in ("key", "pair"))
+        labels, label = np.unique(rows.column("label").to_numpy(), return_inverse=True)
         close = near(rows.column("sketch"))
         found, at, step = [], np.arange(n), 0
         while True:
@@ -121,11 +125,11 @@ def _near_stars(members: DataFrame, near: Near) -> DataFrame:
                 break
             a = at[label[at] != label[at + step]]
             a = a[close(a, a + step)]
-            found.append(np.stack([a, a + step]))
+            found.append(np.unique(np.stack([label[a], label[a + step]]), axis=1))
         a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        roots = _roots(a, b, n)
-        out = np.flatnonzero(node[roots] != node)
-        return pa.RecordBatch.from_arrays([pa.array(node[roots[out]]), pa.array(node[out])], names=["a", "b"])
+        roots = _roots(a, b, len(labels))
+        out = np.flatnonzero(roots != np.arange(len(labels)))
+        return pa.RecordBatch.from_arrays([pa.array(labels[roots[out]]), pa.array(labels[out])], names=["a", "b"])
 
     return streamed(_in_block_pairs(members, "key"), ["key", "pair"], work, "a long, b long").distinct()
 
@@ -223,8 +227,8 @@ def linked(members: DataFrame, sets: DataFrame, near: Near, percent: int) -> Dat
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l < m")
     rest = staged(labelled.join(open_keys.select("key"), "key", "left_semi"), "open")
     clusters = components(_near_stars(rest.join(sets.select("node", "size", "sketch"), "node"), near))
-    within = clusters.withColumnRenamed("label", "cluster").join(rest.select("node", "label").distinct(), "node").join(
-        sets.select("node", "size", "sketch", "elements"), "node")
+    within = clusters.select(F.col("node").alias("label"), F.col("label").alias("cluster")).join(
+        rest.select("node", "label").distinct(), "label").join(sets.select("node", "size", "sketch", "elements"), "node")
     more = staged(_confirmed_in_clusters(within, near, percent), "confirmed")
     labels = components(links.union(more))
     discard(links, before, rest, clusters, more)
