@@ -104,6 +104,25 @@ def scored_spans(entities: DataFrame, source: str, threshold: float = 0.5, label
     return resolve_spans(mapped) if flat else mapped
 
 
+# Profiles whose spans come from a model alone: named entities, zero-shot entities with scores, a rule engine's.
+MODEL_PROFILES = ("ner", "zero_shot", "rule_engine")
+
+
+def model_spans(entities: DataFrame, profile: str, threshold: float = 0.5, labels: Iterable[str] | None = None,
+                categories: Iterable[str] | None = None) -> DataFrame:
+    """Disjoint spans of one kind of model: by score, then length, then the model's order.
+
+    ``threshold`` and ``labels`` select scored entities, ``categories`` named ones.
+    """
+    if profile == "ner":
+        found = ner_spans(entities, categories)
+    elif profile in MODEL_PROFILES:
+        found = scored_spans(entities, profile, threshold, labels)
+    else:
+        raise ValueError(f"unknown model profile {profile!r}; known: {', '.join(MODEL_PROFILES)}")
+    return resolve_spans(found.select("doc_id", "start", "end", "text", "category", "confidence", "ord"))
+
+
 def personal_data_spans(entities: DataFrame, extended: bool = False, threshold: float = 0.5) -> DataFrame:
     """Entities with the predefined labels for personal data."""
     labels = fixed.ZERO_SHOT_DEFAULT + (fixed.ZERO_SHOT_EXTRA if extended else [])

@@ -63,7 +63,8 @@ def with_legend(texts: DataFrame, mapping: DataFrame, scope: str = "corpus") ->
     if scope == "document":
         joined = texts.join(legends.withColumnRenamed("scope", "doc_id"), "doc_id", "left")
     else:
-        joined = texts.join(F.broadcast(legends.drop("scope")), F.lit(True), "left")  # one row
+        of_corpus = F.broadcast(legends.where("scope = 0"))  # one row
+        joined = texts.withColumn("scope", F.lit(0).cast("bigint")).join(of_corpus, "scope", "left")
     return joined.select("doc_id", F.concat(F.coalesce("legend", F.lit(EMPTY_LEGEND)), "text").alias("text"))
 
 
@@ -91,6 +92,14 @@ def text_sizes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.length("text").alias("chars"))
 
 
+def analyse_documents(docs: DataFrame, profile="patterns") -> DataFrame:
+    """``analyse`` with the number of characters in each document's total, which documents without findings have too."""
+    found = analyse(docs, profile).withColumnRenamed("doc_id", "_doc")
+    return text_sizes(docs).join(found, F.col("doc_id") == F.col("_doc"), "left").select(
+        "doc_id", "category", F.coalesce("found", F.lit(0)).cast("bigint").alias("found"), "examples", "more",
+        F.when(F.col("category").isNull(), F.col("chars")).alias("chars"))
+
+
 def dry_run(mapping: DataFrame) -> DataFrame:
     """Placeholder and main form of every entity; nothing is written."""
     return mapping.select("placeholder", "canonical")

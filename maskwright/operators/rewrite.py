@@ -12,7 +12,7 @@ from maskwright.functions.strategies import Strategy, get_strategy
 from maskwright.functions.text import join_broken_names, normalise, placeholder
 from maskwright.operators import mapping as maps
 from maskwright.operators.detect import Profile, detect_raw, explode_spans, resolved_spans
-from maskwright.operators.external import hybrid_spans
+from maskwright.operators.external import MODEL_PROFILES, hybrid_spans, model_spans
 from maskwright.operators.joins import attach, lookup
 from maskwright.functions.resolve import is_masked
 from maskwright.session import stage
@@ -127,13 +127,23 @@ def entries_table(encoded: DataFrame) -> DataFrame:
 # --- with a mapping over the corpus ------------------------------------------
 
 def kept_spans(prepared: DataFrame, profile: Profile = "patterns", skip_masked: bool = True,
-               entities: DataFrame | None = None, include_org: bool = False) -> DataFrame:
-    """Spans to replace, with their keys: doc_id, start, end, text, category, norm."""
+               entities: DataFrame | None = None, include_org: bool = False, threshold: float = 0.5) -> DataFrame:
+    """Spans to replace, with their keys: doc_id, start, end, text, category, norm.
+
+    With entities of models the profile says whether they stand alone (``MODEL_PROFILES``) or beside the detectors.
+    """
+    model_alone = isinstance(profile, str) and profile in MODEL_PROFILES
+    if model_alone and entities is None:
+        raise ValueError(f"profile {profile!r} needs entities")
     if entities is None:
         spans = explode_spans(prepared, resolved_spans("text", profile, skip_masked), context=False)
     else:
-        raw = stage(detect_raw(prepared, profile), "raw-spans")
-        spans = hybrid_spans(raw, entities, include_org)
+        if model_alone:
+            # only what lies in one of the documents
+            spans = model_spans(entities, profile, threshold).join(prepared.select("doc_id"), "doc_id", "left_semi")
+        else:
+            raw = stage(detect_raw(prepared, profile), "raw-spans")
+            spans = hybrid_spans(raw, entities, include_org)
         if skip_masked:
             spans = spans.where(~F.expr(is_masked("text")))
     return maps.with_norm(spans.select("doc_id", "start", "end", "text", "category"))
@@ -147,9 +157,13 @@ def replace_spans(prepared: DataFrame, valued: DataFrame) -> DataFrame:
 
 def encode(docs: DataFrame, mapping: DataFrame | None = None, strategy: str | Strategy = "replace",
            profile: Profile = "patterns", scope: str = maps.CORPUS, skip_masked: bool = True,
-           entities: DataFrame | None = None, include_org: bool = False, doc: str = "doc_id", **options) -> Encoded:
+           entities: DataFrame | None = None, include_org: bool = False, threshold: float = 0.5, doc: str = "doc_id",
+           **options) -> Encoded:
     """Sanitise documents and build (or extend) the mapping.
 
+    ``profile`` names detectors (with ``entities``: besides the models' spans) or a kind of model, whose spans in
+    ``entities`` are then all there is; ``threshold`` is the least score of scored entities.
+
     Document scope rewrites each row in place.  Otherwise the text is prepared
     and searched once, and the values of the spans are joined to it.
     """
@@ -161,7 +175,7 @@ def encode(docs: DataFrame, mapping: DataFrame | None = None, strategy: str | St
         return Encoded(encoded.select("doc_id", "text"), entries_table(encoded))
 
     prepared = prepare(docs, doc)
-    spans = stage(kept_spans(prepared, profile, skip_masked, entities, include_org), "spans")
+    spans = stage(kept_spans(prepared, profile, skip_masked, entities, include_org, threshold), "spans")
     if scope == maps.DOCUMENT:
         table = maps.build_mapping(spans, scope)
     elif mapping is None:

@@ -421,6 +421,20 @@ def encode_hybrid(spark, sf):
     return encode(corpora.notes(spark, sf), profile="hybrid", entities=corpora.entities(spark, sf), include_org=True).text
 
 
+def _model_alone(profile: str, labels: str, *ctes: str) -> None:
+    @query(f"encode_model_{profile}", o.with_(o.NOTES, o.prepared(), o.ENTITIES, *ctes, o.resolved("scored", "resolved", "-confidence, s - e, ord"),
+           o.kept(), o.mapping(), o.rewritten(o.valued(), "prepared")) + _REWRITTEN)
+    def run(spark, sf):
+        return encode(corpora.notes(spark, sf), profile=profile, entities=corpora.entities(spark, sf, labels)).text
+
+
+_model_alone("ner", "label", _NER_CTE, """scored as (select doc_id, start as s, "end" as e, text as v, category, confidence, ord from (
+  select *, row_number() over (partition by doc_id, start, "end" order by ord) as pick from ner) where pick = 1)""")
+for _source, _table, _column in [("zero_shot", fixed.ZERO_SHOT_LABELS, "lower(zero_shot)"), ("rule_engine", fixed.RULE_ENGINE_LABELS, "rule_engine")]:
+    _model_alone(_source, _source, f"""scored as (select doc_id, start as s, "end" as e, text as v,
+      {o.label_case(_column, _table, "'MISC'")} as category, score as confidence, ord from entities where score >= 0.5)""")
+
+
 def _strategy(name: str, value: str, **options) -> None:
     @query(f"encode_{name}", o.with_(*o.encoding(), o.rewritten(f"select doc_id, s, e, {value} as value from kept", "prepared")) + _REWRITTEN)
     def run(spark, sf):
@@ -485,7 +499,7 @@ def strategy_replace_standalone(spark, sf):
         F.lit(0).cast("bigint").alias("scope"), F.concat_ws("|", "category", "value").alias("norm"), "category",
         F.col("value").alias("canonical"), F.array("value").alias("variations"), F.lit(1).cast("bigint").alias("occurrences"),
         F.col("value").alias("first_doc"), F.lit(0).alias("first_back"))
-    return maps.number(values, blocks=1).select(F.col("canonical").alias("value"), "category", "placeholder")
+    return maps.number(values).select(F.col("canonical").alias("value"), "category", "placeholder")
 
 
 @query("strategy_custom", o.with_(*o.encoding(), o.rewritten(
@@ -565,6 +579,22 @@ def decode_from_files(spark, sf):
     return dec.decode(files.read_documents(spark, f"{base}/texts"), files.read_mapping_json(spark, f"{base}/mapping"))
 
 
+def _decoded_per_document_sql() -> list[str]:
+    token = r"\b[A-Z][A-Z0-9]*(?:_[A-Z][A-Z0-9]*)*_\d{3,}\b"
+    tokens = f"tokens as materialized ({o.find('rewritten', token)})"
+    value = ("select t.doc_id, t.s, t.e, coalesce(m.canonical, t.v) as value from tokens t "
+             "left join mapping m on m.placeholder = t.v and m.scope = t.doc_id")
+    return [*o.encoding(), o.mapping(scope="doc_id"), o.rewritten(o.valued("k.doc_id"), "prepared"), tokens,
+            o.rewritten(value, "rewritten", "decoded")]
+
+
+@query("decode_per_document", o.with_(*_decoded_per_document_sql()) + "select doc_id, text from decoded")
+def decode_per_document(spark, sf):
+    """Placeholders that mean another value in each document."""
+    done = encode(corpora.notes(spark, sf), scope=maps.DOCUMENT)
+    return dec.decode(stage(done.text, "texts"), done.mapping, scope="document")
+
+
 @query("validate_round_trip", o.with_(*_decoded_sql()) + """select n.doc_id, length(n.text) as original_length, length(r.text) as sanitized_length,
   length(d.text) as decoded_length, length(n.text) = length(d.text) as lengths_match, n.text = d.text as content_match,
   cast(x.i as int) as first_diff_position,
@@ -608,6 +638,14 @@ def report_analyse(spark, sf):
     return rep.analyse(corpora.notes(spark, sf))
 
 
+@query("report_analyse_documents", o.with_(o.NOTES, o.raw(), o.resolved(), "r as (select *, row_number() over (partition by doc_id, category order by s) as k from resolved)")
+       + """select doc_id, category, count(*) as found, string_agg(case when k <= 5 then v end, '; ' order by k) as examples,
+  greatest(count(*) - 5, 0) as more, null as chars from r group by doc_id, category
+  union all select n.doc_id, null, count(r.doc_id), null, null, length(n.text) from notes n left join r on r.doc_id = n.doc_id group by n.doc_id, n.text""")
+def report_analyse_documents(spark, sf):
+    return rep.analyse_documents(corpora.notes(spark, sf))
+
+
 @query("report_dry_run", o.with_(*o.encoding(), o.mapping()) + "select placeholder, canonical from mapping")
 def report_dry_run(spark, sf):
     return rep.dry_run(encode(corpora.notes(spark, sf)).mapping)
@@ -715,3 +753,44 @@ def stream_mapping_batches(spark, sf):
     """The carried mapping after the last batch: a snapshot and the changes after it."""
     base = _streamed_in_batches(spark, sf)
     return flat_mapping(stream.MappingLog(spark, f"{base}/mapping").read(1 << 40))
+
+
+# --- text files --------------------------------------------------------------
+
+_NAME = "'note-' || lpad(cast({} as varchar), 10, '0') || '{}.txt' as name"
+
+
+def _note_files(spark: SparkSession, sf: str, base: str) -> DataFrame:
+    """The notes as text files, one each, read again: doc_id is the rank of the path."""
+    named = corpora.notes(spark, sf).select(F.format_string("note-%010d.txt", "doc_id").alias("name"), "text")
+    files.write_text_files(named, f"{base}/in")
+    return files.output_names(stage(files.read_texts(spark, f"{base}/in"), "texts"))
+
+
+def _written(spark: SparkSession, path: str) -> DataFrame:
+    return files.read_texts(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "text")
+
+
+@query("encode_text_files", o.with_(*o.encoding(), o.mapping(), o.rewritten(o.valued(), "prepared"))
+       + f"select {_NAME.format('doc_id', '_sanitized')}, text from rewritten")
+def encode_text_files(spark, sf):
+    """Text files in, sanitised text files with derived names out."""
+    base = _run_folder(spark, "text-files")
+    texts = _note_files(spark, sf, base)
+    done = encode(texts.select("doc_id", "text"))
+    files.write_text_files(done.text.join(texts.select("doc_id", "sanitized_name"), "doc_id"), f"{base}/out", "sanitized_name")
+    return _written(spark, f"{base}/out")
+
+
+@query("decode_text_files", o.with_(*_decoded_sql()) + f"select {_NAME.format('doc_id', '_sanitized_decoded')}, text from decoded")
+def decode_text_files(spark, sf):
+    """Sanitised text files and a mapping file back to decoded text files."""
+    base = _run_folder(spark, "text-files")
+    texts = _note_files(spark, sf, base)
+    done = encode(texts.select("doc_id", "text"))
+    files.write_text_files(done.text.join(texts.select("doc_id", "sanitized_name"), "doc_id"), f"{base}/out", "sanitized_name")
+    files.write_mapping_json(done.mapping, f"{base}/mapping", "")
+    sanitised = files.output_names(stage(files.read_texts(spark, f"{base}/out"), "texts"))
+    decoded = dec.decode(sanitised.select("doc_id", "text"), files.read_mapping_json(spark, f"{base}/mapping"))
+    files.write_text_files(decoded.join(sanitised.select("doc_id", "decoded_name"), "doc_id"), f"{base}/decoded", "decoded_name")
+    return _written(spark, f"{base}/decoded")

@@ -44,3 +44,33 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     first = sorted(map(str, log.read(1).collect()))
     run(docs.where("doc_id = 2"), 1)
     assert sorted(map(str, log.read(1).collect())) == first
+
+
+def test_log_is_compacted_and_replayed(spark, tmp_path):
+    texts = [f"mail m{i % 5}@x.be en n{i}@x.be" for i in range(9)]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    log = MappingLog(spark, f"{tmp_path}/map", buckets=4, compact_every=2)
+    run = encode_batch(log, f"{tmp_path}/out")
+    for n in range(9):
+        run(docs.where(f"doc_id = {n}"), n)
+    whole = sorted(map(str, encode(docs).mapping.collect()))
+    assert sorted(map(str, log.read(8).collect())) == whole
+    assert log._batches("snapshot", 99) == [5, 7]  # older ones, and the changes before them, are gone
+    assert log._batches("delta", 99) == [6, 7, 8]
+    # what a batch wrote is what it was about
+    assert {r.canonical for r in log._rows("delta", 8).collect()} == {"m3@x.be", "n8@x.be"}
+    before = sorted(map(str, log.read(6).collect()))
+    for n in (6, 7, 8):  # again, after a failure
+        run(docs.where(f"doc_id = {n}"), n)
+    assert sorted(map(str, log.read(8).collect())) == whole and sorted(map(str, log.read(6).collect())) == before
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 9
+
+
+def test_empty_batches_keep_the_mapping(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a@x.be")], SCHEMA)
+    log = MappingLog(spark, f"{tmp_path}/map")
+    run = encode_batch(log, f"{tmp_path}/out")
+    run(docs, 0)
+    run(docs.where("doc_id = 7"), 1)
+    run(docs.withColumn("doc_id", docs.doc_id + 1), 2)
+    assert [(r.placeholder, r.occurrences) for r in log.read(2).collect()] == [("EMAIL_001", 2)]
