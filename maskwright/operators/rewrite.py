@@ -14,6 +14,7 @@ from maskwright.operators import mapping as maps
 from maskwright.operators.detect import Profile, detect_raw, explode_spans, resolved_spans
 from maskwright.operators.external import MODEL_PROFILES, hybrid_spans, model_spans
 from maskwright.operators.joins import attach, lookup
+from maskwright.operators.sealing import seal
 from maskwright.functions.resolve import is_masked
 from maskwright.session import stage
 
@@ -158,16 +159,19 @@ def replace_spans(prepared: DataFrame, valued: DataFrame) -> DataFrame:
 def encode(docs: DataFrame, mapping: DataFrame | None = None, strategy: str | Strategy = "replace",
            profile: Profile = "patterns", scope: str = maps.CORPUS, skip_masked: bool = True,
            entities: DataFrame | None = None, include_org: bool = False, threshold: float = 0.5, doc: str = "doc_id",
-           **options) -> Encoded:
+           keys: DataFrame | None = None, key_id: str | None = None, **options) -> Encoded:
     """Sanitise documents and build (or extend) the mapping.
 
     ``profile`` names detectors (with ``entities``: besides the models' spans) or a kind of model, whose spans in
-    ``entities`` are then all there is; ``threshold`` is the least score of scored entities.
+    ``entities`` are then all there is; ``threshold`` is the least score of scored entities. With ``keys`` (see
+    ``operators.sealing``) the strategy is ``encrypt``, under the key of ``key_id``.
 
     Document scope rewrites each row in place.  Otherwise the text is prepared
     and searched once, and the values of the spans are joined to it.
     """
-    chosen = get_strategy(strategy, **options)
+    chosen = Strategy("encrypt", reversible=True) if keys is not None else get_strategy(strategy, **options)
+    if keys is not None and (strategy != "encrypt" or key_id is None):
+        raise ValueError("keys go with strategy='encrypt' and a key_id")
     if scope == maps.DOCUMENT and mapping is not None:
         raise ValueError("a mapping can only be carried on with scope='corpus'")
     if scope == maps.DOCUMENT and chosen.name == "replace" and entities is None:
@@ -190,6 +194,8 @@ def encode(docs: DataFrame, mapping: DataFrame | None = None, strategy: str | St
         else:
             keyed = table.where(F.col("norm").isNotNull()).select("norm", F.col("placeholder").alias("value"))
             valued = lookup(spans, keyed, ["norm"])
+    elif keys is not None:
+        valued = seal(spans, keys, key_id, "text", "value")
     elif chosen.column is not None:
         valued = spans.withColumn("value", chosen.column(F.col("text"), F.col("category")))
     else:

@@ -18,6 +18,7 @@ from maskwright.operators import external as ext
 from maskwright.operators import mapping as maps
 from maskwright.operators import pages as pg
 from maskwright.operators import reports as rep
+from maskwright.operators import sealing
 from maskwright.operators.detect import detect, detect_all, detect_raw
 from maskwright.operators.resolve import resolve_spans
 from maskwright.operators.rewrite import encode, encode_each, entries_table, kept_spans, prepare, replace_spans, sanitise
@@ -491,6 +492,30 @@ def encrypt_round_trip(spark, sf):
     return sealed.select("value", "category", F.expr(decrypt("sealed", _KEY)).alias("restored"), hidden.alias("hidden"))
 
 
+def _keys(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(f"k{i}", bytes(range(i, i + 16))) for i in range(3)], "key_id string, key binary")
+
+
+@query("encrypt_with_key_table", o.with_(o.NOTES, o.prepared()) + "select doc_id, text as restored, true as hidden from prepared")
+def encrypt_with_key_table(spark, sf):
+    """Values sealed under a key of a table, in the texts, and put back."""
+    done = encode(corpora.notes(spark, sf), strategy="encrypt", keys=_keys(spark), key_id="k1")
+    texts = stage(done.text, "texts")
+    restored = sealing.restore(texts, _keys(spark)).withColumnRenamed("text", "restored")
+    return restored.join(texts, "doc_id").select("doc_id", "restored", (~F.col("text").contains("@example.com")).alias("hidden"))
+
+
+@query("encrypt_rotate_keys", _VALUES + """select v as value, category, 'k' || (length(v) % 2) as before, 'k2' as after, v as restored from u""")
+def encrypt_rotate_keys(spark, sf):
+    """Values under two keys, all of them under a third one after rotation."""
+    keys, values = _keys(spark), _values(spark, sf)
+    parts = [sealing.seal(values.where(F.length("value") % 2 == i), keys, f"k{i}") for i in (0, 1)]
+    sealed = stage(parts[0].unionByName(parts[1]).withColumn("before", F.regexp_extract("sealed", "^<([^:]+):", 1)), "sealed")
+    rotated = stage(sealing.rotate(sealed, keys, "k2"), "rotated")
+    return sealing.unseal(rotated, keys, into="restored").select(
+        "value", "category", "before", F.regexp_extract("sealed", "^<([^:]+):", 1).alias("after"), "restored")
+
+
 @query("strategy_replace_standalone", _VALUES + """select v as value, category,
   category || '_' || format('{:03d}', row_number() over (partition by category order by v)) as placeholder from u""")
 def strategy_replace_standalone(spark, sf):
