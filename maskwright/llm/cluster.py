@@ -62,3 +62,11 @@ def discard(*tables: DataFrame) -> None:
 def shuffle_partitions(spark: SparkSession) -> int:
     """The size that the session is set up for; every degree of parallelism here follows it."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def unused(frame: DataFrame, name: str) -> str:
+    """A column name like `name` that the frame does not have."""
+    taken = {c.lower() for c in frame.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name

@@ -24,12 +24,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import discard, ship, staged
+from .cluster import discard, ship, staged, unused
 from .line_dedup import text_key
 from .texts import PUNCTUATION, Words, slices
 
 #: Words in a shingle.
 SHINGLE = 5
+#: Shingles in a piece of a run.
+PIECE = 32
 #: Bits of the filter of item shingles: 4 MB, whatever the number of items. A full filter costs time, not results.
 FILTER_BITS = 25
 
@@ -80,10 +82,15 @@ def _filter(windows: DataFrame) -> dict[int, np.ndarray]:
     return maps
 
 
-def _runs(docs: DataFrame, maps: dict[int, np.ndarray]) -> DataFrame:
-    """One row per document: n_words, and its runs of words whose shingles of one size all pass the filter."""
+def _runs(docs: DataFrame, maps: dict[int, np.ndarray], window: int) -> DataFrame:
+    """One row per document: n_words, and its runs of words whose shingles of one size all pass the filter.
+
+    A long run comes in pieces: each has `n` shingles of its own, from word `at` of it on, and the `window` words of the
+    run before and after them, so any window over a shingle of its own is whole in it.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(maps)
-    run_type = pa.list_(pa.struct([("size", pa.int32()), ("first", pa.int64()), ("words", pa.list_(pa.string()))]))
+    run_type = pa.list_(pa.struct([
+        ("size", pa.int32()), ("first", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("words", pa.list_(pa.string()))]))
 
     def find(words: Words) -> list[list[dict]]:
         out: list[list[dict]] = [[] for _ in words.counts]
@@ -99,9 +106,12 @@ def _runs(docs: DataFrame, maps: dict[int, np.ndarray]) -> DataFrame:
             for a, b in zip(np.r_[0, cut], np.r_[cut, len(hit)], strict=True):
                 low, high = hit[a], hit[b - 1] + size
                 doc = text_of[low]
-                out[doc].append({
-                    "size": size, "first": int(low - words.first[doc]),
-                    "words": [words.bytes_of(i).decode() for i in range(low, high)]})
+                for start in range(low, hit[b - 1] + 1, PIECE):
+                    stop = min(start + PIECE, hit[b - 1] + 1)
+                    left, right = max(low, start - window), min(high, stop - 1 + size + window)
+                    out[doc].append({
+                        "size": size, "first": int(left - words.first[doc]), "at": int(start - left), "n": int(stop - start),
+                        "words": [words.bytes_of(i).decode() for i in range(left, right)]})
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +126,7 @@ def _runs(docs: DataFrame, maps: dict[int, np.ndarray]) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(
         run, f"doc_id {kind}, text_key long, n_words long, "
-             "runs array<struct<size: int, first: long, words: array<string>>>")
+             "runs array<struct<size: int, first: long, at: int, n: int, words: array<string>>>")
 
 
 def contamination(
@@ -130,12 +140,12 @@ def contamination(
     wanted = docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
         text_key(F.col(text_col)).alias("text_key"))
-    runs = staged(_runs(wanted, _filter(windows)), "runs")
+    runs = staged(_runs(wanted, _filter(windows), window), "runs")
     # Equal rows have equal runs; one of each is enough to join.
     places = runs.where(F.size("runs") > 0).select("doc_id", "text_key", F.explode("runs").alias("r")).distinct()
     tokens = places.select(
         "doc_id", "text_key", F.col("r.first").alias("first"), F.col("r.words").alias("run"), F.col("r.size").alias("size"),
-        F.explode(F.expr("sequence(0, size(r.words) - r.size)")).alias("at"),
+        F.explode(F.expr("sequence(r.at, r.at + r.n - 1)")).alias("at"),
     ).withColumn("shingle", F.expr("array_join(slice(run, at + 1, size), ' ')"))
     holders = tokens.groupBy("shingle").agg(F.count("*").alias("n"))
     rarest = (
@@ -180,7 +190,8 @@ def contamination(
 
 def keep_clean(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without any window of an item, with all their columns."""
+    doc, key = unused(docs, "__hit_doc"), unused(docs, "__hit_key")
     hit = contamination(docs, items, window, id_col, text_col).where("n_hit > 0").select(
-        F.col("doc_id").alias("__hit_doc"), F.col("text_key").alias("__hit_key")).distinct()
+        F.col("doc_id").alias(doc), F.col("text_key").alias(key)).distinct()
     return docs.join(
-        hit, docs[id_col].eqNullSafe(F.col("__hit_doc")) & (text_key(docs[text_col]) == F.col("__hit_key")), "left_anti")
+        hit, docs[id_col].eqNullSafe(F.col(doc)) & (text_key(docs[text_col]) == F.col(key)), "left_anti")

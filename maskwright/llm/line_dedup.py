@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import discard, shuffle_partitions, staged
+from .cluster import discard, shuffle_partitions, staged, unused
 
 STRIPPED = " \t\n\x0b\x0c\r"
 WORD_BITS = 32
@@ -91,24 +91,24 @@ def drop_lines(
 ) -> DataFrame:
     """docs with the text rid of its dropped lines; a column `length_col` gets the new text's length where lines went;
     with `counts`, also n_lines and n_dropped (for docs without columns of these names)."""
+    doc, key, gone, kept_map, parts, drops = (unused(docs, f"__{n}") for n in ("b_doc", "b_key", "b_n", "b_map", "lines", "dense"))
     bitmaps = keep_bitmaps(docs, min_chars, min_docs, id_col, text_col).select(
-        F.col("doc_id").alias("__b_doc"), F.col("text_key").alias("__b_key"), F.col("n_dropped").alias("__b_n"),
-        F.col("bitmap").alias("__b_map"))
+        F.col("doc_id").alias(doc), F.col("text_key").alias(key), F.col("n_dropped").alias(gone), F.col("bitmap").alias(kept_map))
     both = docs.join(
         bitmaps.hint("shuffle_hash"),
-        docs[id_col].eqNullSafe(F.col("__b_doc")) & (text_key(docs[text_col]) == F.col("__b_key")), "left")
-    dense = F.expr("flatten(transform(__b_map, x -> concat(array_repeat(0L, x.gap), array(x.drop))))")
+        docs[id_col].eqNullSafe(F.col(doc)) & (text_key(docs[text_col]) == F.col(key)), "left")
+    dense = F.expr(f"flatten(transform({kept_map}, x -> concat(array_repeat(0L, x.gap), array(x.drop))))")
     lines = _lines(docs[text_col])
     kept = F.expr(
-        f"array_join(filter(__lines, (x, i) -> (shiftright(coalesce(get(__dense, i div {WORD_BITS}), 0L), i % {WORD_BITS})"
+        f"array_join(filter({parts}, (x, i) -> (shiftright(coalesce(get({drops}, i div {WORD_BITS}), 0L), i % {WORD_BITS})"
         " & 1L) = 0L), '\\n')")
-    out = both.withColumn("__lines", lines).withColumn("__dense", F.coalesce(dense, F.array().cast("array<bigint>")))
-    text = F.when(F.col("__b_n").isNull(), docs[text_col]).otherwise(kept)
+    out = both.withColumn(parts, lines).withColumn(drops, F.coalesce(dense, F.array().cast("array<bigint>")))
+    text = F.when(F.col(gone).isNull(), docs[text_col]).otherwise(kept)
     changed = {text_col: text}
     if length_col in docs.columns:
-        changed[length_col] = F.when(F.col("__b_n").isNull(), docs[length_col]).otherwise(
+        changed[length_col] = F.when(F.col(gone).isNull(), docs[length_col]).otherwise(
             F.length(kept).cast(docs.schema[length_col].dataType))
     columns = [changed.get(c, docs[c]).alias(c) for c in docs.columns]
     if counts:
-        columns += [F.size("__lines").cast("long").alias("n_lines"), F.coalesce("__b_n", F.lit(0)).cast("long").alias("n_dropped")]
+        columns += [F.size(parts).cast("long").alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("long").alias("n_dropped")]
     return out.select(*columns)

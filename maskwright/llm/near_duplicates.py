@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import discard, ship, staged
+from .cluster import discard, ship, staged, unused
 from .line_dedup import text_key
 from .links import linked
 from .texts import U64, Words, mix, slices
@@ -206,8 +206,8 @@ def _set_rows(texts: DataFrame, size: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents that are near duplicates of one with a smaller doc_id, with all their columns."""
+    doc, key = unused(docs, "__gone_doc"), unused(docs, "__gone_key")
     gone = near_duplicates(docs, shingle, percent, id_col, text_col).where("not kept").select(
-        F.col("doc_id").alias("__gone_doc"), F.col("text_key").alias("__gone_key")).distinct()
+        F.col("doc_id").alias(doc), F.col("text_key").alias(key)).distinct()
     return docs.join(
-        gone, docs[id_col].cast("long").eqNullSafe(F.col("__gone_doc"))
-        & (text_key(docs[text_col]) == F.col("__gone_key")), "left_anti")
+        gone, docs[id_col].cast("long").eqNullSafe(F.col(doc)) & (text_key(docs[text_col]) == F.col(key)), "left_anti")

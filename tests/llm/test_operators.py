@@ -503,3 +503,25 @@ def test_language_model_learns_order_as_registered(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
     scored = [r for r in score_documents(frame).collect() if r.held_out]
     assert sum(r.score for r in scored) > 0.5 * sum(r.base_score for r in scored)
+
+
+def test_own_names_in_the_table_do_not_clash(spark):
+    names = ["__b_doc", "__B_KEY", "__b_n", "__b_map", "__lines", "__dense", "__gone_doc", "__gone_key", "__hit_doc", "__hit_key"]
+    line = "This line is in all of the documents and has over forty characters"
+    rows = [(i, f"{line}\nword{i} " + " ".join(f"w{i}x{k}" for k in range(30)), *range(len(names))) for i in range(6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    item = spark.createDataFrame([(1, " ".join(f"w3x{k}" for k in range(12)))], "item_id long, text string")
+    assert sum(line in r.text for r in drop_lines(frame).collect()) == 1 and drop_lines(frame).columns == frame.columns
+    assert keep_one(frame).count() == 6 and keep_one(frame).columns == frame.columns
+    clean = keep_clean(frame, item)
+    assert {r.doc_id for r in clean.collect()} == {0, 1, 2, 4, 5} and clean.columns == frame.columns
+
+
+def test_one_long_run_of_contamination(spark):
+    """A document of one item from end to end: rows grow with its words, not with their square."""
+    rng = random.Random(9)
+    words_ = [f"w{rng.randint(0, 3000)}" for _ in range(20_000)]
+    frame = spark.createDataFrame([(1, " ".join(words_)), (2, " ".join(words_[:40] + ["x"] + words_[15_000:15_009]))], "doc_id long, text string")
+    item = spark.createDataFrame([(5, " ".join(words_))], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, list(r.item_ids)) for r in contamination(frame, item).collect()}
+    assert got == {1: (20_000, 20_000, ["5"]), 2: (50, 40, ["5"])}
