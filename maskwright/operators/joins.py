@@ -12,15 +12,13 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int | N
     """Left join with a table that has one row per key.
 
     A key is hot if it holds more rows than a shuffle partition on average (or than ``hot_rows``), so there are fewer hot
-    keys than partitions.
+    keys than partitions. ``left`` is read several times, so it should be a table.
     They are counted (aggregated before the shuffle), and their rows of ``right``, as few, are broadcast; all other keys
     go through the ordinary join. Both parts together are the whole input, at any size.
     """
     spark = left.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = left.groupBy(*keys).count()
-    share = left.agg((F.lit(float(hot_rows)) if hot_rows else F.count("*") / partitions).alias("share"))
-    hot = counts.join(F.broadcast(share), F.col("count") > F.col("share")).select(*keys).collect()  # one row; < partitions
+    share = hot_rows or left.count() / int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot = left.groupBy(*keys).count().where(F.col("count") > share).select(*keys).collect()  # fewer than partitions
     if not hot:
         return left.join(right, keys, "left")
     hot_keys = F.broadcast(spark.createDataFrame(hot, left.select(*keys).schema))
