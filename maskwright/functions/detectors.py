@@ -375,6 +375,13 @@ DETECTORS: dict[str, Detector] = {
     "street": precise_streets,
 }
 
+# The one category of each detector's spans; a caller's own detectors may make any.
+CATEGORIES = {
+    "email": "EMAIL", "iban": "IBAN", "phone": "PHONE", "vehicle": "VEHICLE", "road": "ROAD", "dob": "DOB", "address": "ADDRESS",
+    "any_street": "STREET", "context_place": "PLACE", "place": "PLACE", "national_id": "ID", "context_name": "PERSON",
+    "name": "PERSON", "street": "STREET",
+}
+
 
 def custom(name: str, category: str, pattern: str, confidence: float, before: int = 20, after: int = 20,
            cues: list[str] | None = None, cue_window: int = 30) -> Detector:

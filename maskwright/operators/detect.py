@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions import fixed
-from maskwright.functions.detectors import DETECTORS, Detector
+from maskwright.functions.detectors import CATEGORIES, DETECTORS, Detector
 from maskwright.functions.resolve import drop_masked, resolve
-from maskwright.functions.spans import lits, one_per_position, window
+from maskwright.functions.spans import SPANS, empty, lits, one_per_position, window
 
 PROFILES: dict[str, list[str]] = {
     "patterns": fixed.PATTERN_PROFILE,
@@ -19,12 +19,15 @@ PROFILES: dict[str, list[str]] = {
 Profile = str | Iterable[str | Detector]
 
 
-def detectors_of(profile: Profile) -> list[Detector]:
-    """A profile name, or an own list of detector names and functions."""
+def detectors_of(profile: Profile, categories: Iterable[str] | None = None) -> list[Detector]:
+    """A profile name, or an own list of detector names and functions; of named ones only those that make the categories."""
     if isinstance(profile, str):
         if profile not in PROFILES:
             raise ValueError(f"unknown profile {profile!r}; known: {', '.join(PROFILES)}")
         profile = PROFILES[profile]
+    if categories is not None:
+        wanted = set(categories)
+        profile = [d for d in profile if not isinstance(d, str) or CATEGORIES[d] in wanted]
     return [DETECTORS[d] if isinstance(d, str) else d for d in profile]
 
 
@@ -71,9 +74,19 @@ def detect(docs: DataFrame, detector: str | Detector, key: str = "doc_id") -> Da
     return explode_spans(docs, one_per_position(fn("text")), key)
 
 
-def detect_raw(docs: DataFrame, profile: Profile = "patterns", key: str = "doc_id", context: bool = False) -> DataFrame:
-    """Spans of all detectors of a profile; ``ord`` is the production order."""
-    return explode_spans(docs, raw_spans("text", profile), key, context)
+def detect_raw(docs: DataFrame, profile: Profile = "patterns", key: str = "doc_id", context: bool = False,
+               categories: Iterable[str] | None = None) -> DataFrame:
+    """Spans of all detectors of a profile; ``ord`` is the production order.
+
+    With ``categories`` only their spans come, numbered among themselves, and the other detectors do not search. Raw spans
+    do not depend on those of other detectors; resolved ones do.
+    """
+    if categories is None:
+        return explode_spans(docs, raw_spans("text", profile), key, context)
+    wanted = list(categories)
+    chosen = detectors_of(profile, wanted)
+    spans = f"filter(concat({', '.join(d('text') for d in chosen)}), s -> s.category in ({lits(wanted)}))" if chosen else empty(SPANS)
+    return explode_spans(docs, spans, key, context)
 
 
 def detect_all(docs: DataFrame, profile: Profile = "patterns", skip_masked: bool = False,

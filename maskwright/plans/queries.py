@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.functions import fixed
-from maskwright.functions.detectors import bsn_valid, custom
+from maskwright.functions.detectors import CATEGORIES, bsn_valid, custom
 from maskwright.functions.strategies import Strategy, decrypt, encrypt, get_strategy
 from maskwright.functions.text import normalise
 from maskwright.operators import decode as dec
@@ -323,16 +323,27 @@ def _spans(spark: SparkSession, sf: str) -> DataFrame:
     return stage(kept_spans(prepare(corpora.notes(spark, sf))), "spans")
 
 
-def _normaliser(name: str, category: str) -> None:
+def _but(*categories: str) -> list[str]:
+    return sorted(set(CATEGORIES.values()) - set(categories))
+
+
+def _values(spark: SparkSession, sf: str, categories: list[str] | None = None) -> DataFrame:
+    """Distinct raw values of some categories, or of all."""
+    found = detect_raw(corpora.notes(spark, sf), categories=categories)
+    return found.select(F.col("text").alias("value"), "category").distinct()
+
+
+def _normaliser(name: str, category: str, wanted: list[str]) -> None:
     @query(f"normalise_{name}", o.with_(o.NOTES, o.raw(), "u as (select distinct v, category from raw)")
            + f"select v as value, category, {o.norm()} as norm from u where category {category}")
     def run(spark, sf):
-        values = detect_raw(corpora.notes(spark, sf)).select(F.col("text").alias("value"), "category").distinct()
-        return values.where(f"category {category}").select("value", "category", F.expr(normalise("value", "category")).alias("norm"))
+        values = _values(spark, sf, wanted)
+        return values.select("value", "category", F.expr(normalise("value", "category")).alias("norm"))
 
 
-for _name, _category in [("person", "= 'PERSON'"), ("phone", "= 'PHONE'"), ("iban", "= 'IBAN'"), ("other", "not in ('PERSON', 'PHONE', 'IBAN')")]:
-    _normaliser(_name, _category)
+for _name, _category, _wanted in [("person", "= 'PERSON'", ["PERSON"]), ("phone", "= 'PHONE'", ["PHONE"]), ("iban", "= 'IBAN'", ["IBAN"]),
+                                  ("other", "not in ('PERSON', 'PHONE', 'IBAN')", _but("PERSON", "PHONE", "IBAN"))]:
+    _normaliser(_name, _category, _wanted)
 
 
 @query("mapping_corpus", o.with_(*o.encoding(), o.mapping()) + _MAP)
@@ -452,23 +463,21 @@ def encode_unmasked_values(spark, sf):
     return sanitise(corpora.notes(spark, sf), "redact", include_category=False, skip_masked=False)
 
 
-def _values(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct raw values of all categories."""
-    return detect_raw(corpora.notes(spark, sf)).select(F.col("text").alias("value"), "category").distinct()
 
 
 _VALUES = o.with_(o.NOTES, o.raw(), "u as (select distinct v, category from raw)")
 
 
-def _mask_query(name: str, category: str) -> None:
+def _mask_query(name: str, category: str, wanted: list[str]) -> None:
     @query(f"mask_{name}", _VALUES + f"select v as value, category, {o.mask()} as masked from u where category {category}")
     def run(spark, sf):
         masked = F.expr(get_strategy("mask").sql("value", "category")).alias("masked")
-        return _values(spark, sf).where(f"category {category}").select("value", "category", masked)
+        return _values(spark, sf, wanted).select("value", "category", masked)
 
 
-for _name, _category in [("words", "not in ('EMAIL', 'PHONE', 'IBAN')"), ("email", "= 'EMAIL'"), ("phone", "= 'PHONE'"), ("iban", "= 'IBAN'")]:
-    _mask_query(_name, _category)
+for _name, _category, _wanted in [("words", "not in ('EMAIL', 'PHONE', 'IBAN')", _but("EMAIL", "PHONE", "IBAN")), ("email", "= 'EMAIL'", ["EMAIL"]),
+                                  ("phone", "= 'PHONE'", ["PHONE"]), ("iban", "= 'IBAN'", ["IBAN"])]:
+    _mask_query(_name, _category, _wanted)
 
 
 @query("hash_algorithms", _VALUES + """select v as value, category, sha256(v || category) as sha256, substr(md5('s' || v || category), 1, 16) as md5,
