@@ -803,7 +803,7 @@ def _note_files(spark: SparkSession, sf: str, base: str) -> DataFrame:
     """The notes as text files, one each, read again: doc_id is the rank of the path."""
     named = corpora.notes(spark, sf).select(F.format_string("note-%010d.txt", "doc_id").alias("name"), "text")
     files.write_text_files(named, f"{base}/in")
-    return files.output_names(stage(files.read_texts(spark, f"{base}/in"), "texts"))
+    return files.output_names(files.read_texts(spark, f"{base}/in"))
 
 
 def _written(spark: SparkSession, path: str) -> DataFrame:
@@ -829,7 +829,7 @@ def decode_text_files(spark, sf):
     done = encode(texts.select("doc_id", "text"))
     files.write_text_files(done.text.join(texts.select("doc_id", "sanitized_name"), "doc_id"), f"{base}/out", "sanitized_name")
     files.write_mapping_json(done.mapping, f"{base}/mapping", "")
-    sanitised = files.output_names(stage(files.read_texts(spark, f"{base}/out"), "texts"))
+    sanitised = files.output_names(files.read_texts(spark, f"{base}/out"))
     decoded = dec.decode(sanitised.select("doc_id", "text"), files.read_mapping_json(spark, f"{base}/mapping"))
     files.write_text_files(decoded.join(sanitised.select("doc_id", "decoded_name"), "doc_id"), f"{base}/decoded", "decoded_name")
     return _written(spark, f"{base}/decoded")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions.spans import lit, u
 from maskwright.operators import mapping as maps
-from maskwright.session import spread, stage
+from maskwright.session import small_files, spread, stage
 from maskwright.sources import textfiles
 
 _STEM = u(r"([^/]*?)(\.[^./]*)?$")
@@ -22,21 +22,22 @@ def read_documents(spark: SparkSession, path: str, doc: str = "doc_id", text: st
 def read_texts(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
     """One row per file: doc_id (rank of the path, from 1), path, text.
 
-    Ranks are made of the paths alone, by range partitions; the contents are read once and joined to them. Names that
-    start with ``_`` or ``.`` are no documents, nor are files of no bytes, which Spark's readers skip.
+    Ranks are made of the paths alone, by range partitions; the contents are read once, joined to them and staged. Names
+    that start with ``_`` or ``.`` are no documents, nor are files of no bytes, which Spark's readers skip.
     """
-    found = spark.read.format("binaryFile").load(path)
-    paths = stage(
-        found.select("path").repartitionByRange("path").sortWithinPartitions("path")
-        .withColumn("_at", F.monotonically_increasing_id()), "paths")
-    placed = paths.withColumn("_part", F.shiftright("_at", 33))
-    starts = placed.groupBy("_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    # one row a partition
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select("_part", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    ranks = placed.join(starts, "_part").select("path", (F.col("_base") + F.col("_at") - F.col("_first") + 1).alias("doc_id"))
-    texts = found.select("path", F.decode("content", encoding).alias("text"))
-    return texts.join(ranks, "path").select("doc_id", "path", "text")
+    with small_files(spark):
+        found = spark.read.format("binaryFile").load(path)
+        paths = stage(
+            found.select("path").repartitionByRange("path").sortWithinPartitions("path")
+            .withColumn("_at", F.monotonically_increasing_id()), "paths")
+        placed = paths.withColumn("_part", F.shiftright("_at", 33))
+        starts = placed.groupBy("_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+        # one row a partition
+        earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = starts.select("_part", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+        ranks = placed.join(starts, "_part").select("path", (F.col("_base") + F.col("_at") - F.col("_first") + 1).alias("doc_id"))
+        texts = found.select("path", F.decode("content", encoding).alias("text"))
+        return stage(texts.join(ranks, "path").select("doc_id", "path", "text"), "texts")
 
 
 def write_text_files(texts: DataFrame, path: str, name: str = "name", text: str = "text", encoding: str = "utf-8",

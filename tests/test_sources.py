@@ -6,7 +6,7 @@ import pytest
 
 from maskwright import encode
 from maskwright.operators import mapping as maps
-from maskwright.session import stage, staged_tables, staging_dir
+from maskwright.session import small_files, stage, staged_tables, staging_dir
 from maskwright.sources import files
 
 ROWS = [("b.txt", "mail a@x.be"), ("a.txt", "geen"), ("c d.txt", ""), ("e.md", "naïef é\nregel 2")]
@@ -59,3 +59,15 @@ def test_staged_tables_are_deleted_by_their_owner(spark, tmp_path):
         assert len(set(os.listdir(folder)) - before) > 2
     assert set(os.listdir(folder)) <= before
     assert spark.read.schema(maps.SCHEMA).parquet(f"{tmp_path}/mapping").count() == 2
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """Files of a few bytes are not read 32 a task; session settings stay as they were."""
+    for i in range(400):
+        (tmp_path / f"{i:03d}.txt").write_text(f"text {i}")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    with small_files(spark):
+        assert spark.read.format("binaryFile").load(str(tmp_path)).rdd.getNumPartitions() <= 8
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+    got = {r.doc_id: r.text for r in files.read_texts(spark, str(tmp_path)).collect()}
+    assert got == {i + 1: f"text {i}" for i in range(400)}
