@@ -555,6 +555,8 @@ def train(model: Model, settings: Settings, chunks: Iterator[tuple[np.ndarray, .
             tokens, gathered = tokens + n, gathered + n
             if 2 * gathered >= settings.lanes * settings.window:
                 apply()
+        # let go before the next chunks are put together
+        del symbols, ranks, sizes, chosen, laid
     if gathered:
         apply()
     return tokens
@@ -674,7 +676,10 @@ def _round(ready: DataFrame, settings: Settings, flat: np.ndarray, in_bands: np.
         def chunks():
             for row in _gathered(batches):
                 chosen = np.flatnonzero(~row["held_out"].astype(bool))
-                yield row["symbols"], row["ranks"], row["sizes"], chosen[round_::settings.rounds]
+                out = row["symbols"], row["ranks"], row["sizes"], chosen[round_::settings.rounds]
+                del row, chosen
+                yield out
+                del out
 
         model = Model(settings, shared.value, in_bands)
         tokens = train(model, settings, chunks())
@@ -697,6 +702,7 @@ def _scored(ready: DataFrame, settings: Settings, flat: np.ndarray, in_bands: np
                 pa.array(row["doc_ids"], pa.int64()), pa.array(row["held_out"].astype(bool)), pa.array(row["sizes"]),
                 pa.array(row["known"]), pa.array(np.full(len(score), total)), pa.array(row["base"]), pa.array(score),
             ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            del row, score
 
     return ready.mapInArrow(
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
