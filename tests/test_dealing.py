@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskwright import session
+from maskwright.operators import external as ext
 from maskwright.plans import corpora, queries
 
 
@@ -34,3 +35,23 @@ def test_notes_grow_by_tasks(spark, tables, broadcast):
 def test_streamed_notes_are_dealt(spark, tables):
     plan = queries._note_stream(spark, tables)._jdf.queryExecution().analyzed().toString()
     assert "RepartitionByExpression" in plan
+
+
+def test_entities_make_no_notes_below_the_dealing(spark, tables):
+    """Tests of a note or of its entities stay above the dealing, else undealt tasks make every note."""
+    found = ext.ner_spans(corpora.entities(spark, tables))
+    plan = found._jdf.queryExecution().optimizedPlan()
+    below = []
+
+    def walk(node, dealt):
+        if dealt:
+            below.append(node.verboseString(1000))
+        dealt = dealt or node.nodeName() == "RepartitionByExpression"
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i), dealt)
+
+    walk(plan, False)
+    assert below and not any("concat(" in node for node in below)
+    assert found.where("doc_id = 9").count() == 0  # a note without entities
+    assert found.where("doc_id = 1").count() > 0
