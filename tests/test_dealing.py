@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from maskwright import session
 from maskwright.operators import external as ext
+from maskwright.operators import resolve
 from maskwright.plans import corpora, queries
 
 
@@ -55,3 +56,20 @@ def test_entities_make_no_notes_below_the_dealing(spark, tables):
     assert below and not any("concat(" in node for node in below)
     assert found.where("doc_id = 9").count() == 0  # a note without entities
     assert found.where("doc_id = 1").count() > 0
+
+
+def test_documents_of_one_block_are_resolved_without_joining_blocks(spark, monkeypatch):
+    asked = []
+    whole = resolve.islands
+
+    def islands(spans, *rest):
+        asked.extend(r.doc_id for r in spans.select("doc_id").distinct().collect())
+        return whole(spans, *rest)
+
+    monkeypatch.setattr(resolve, "islands", islands)
+    rows = [(1, 0, 4, 0.9, 0), (1, 2, 8, 0.95, 1), (1, 7, 9, 0.8, 2), (2, 3, 12, 0.9, 0), (2, 11, 13, 0.8, 1), (2, 13, 15, 0.9, 2),
+            (3, 40, 44, 0.9, 0), (None, 0, 4, 0.9, 0)]
+    spans = spark.createDataFrame(rows, "doc_id bigint, start int, end int, confidence double, ord int")
+    kept = sorted((r.doc_id, r.start) for r in resolve.resolve_spans(spans, block=10).collect())
+    assert kept == [(1, 2), (2, 3), (2, 13), (3, 40)]
+    assert sorted(asked) == [2, 3]
