@@ -449,30 +449,36 @@ class Model:
 
 @dataclass
 class _Lanes:
-    """Documents laid end to end in lanes, the longest lane first; step t has width[t] lanes."""
+    """Documents laid end to end in lanes, the longest lane first; step t has width[t] lanes.
+
+    Tokens lie step after step, without room for lanes that have ended: one long document would make a rectangle of all
+    lanes many times the tokens.
+    """
 
     inputs: np.ndarray
+    input_ranks: np.ndarray
     targets: np.ndarray
     ranks: np.ndarray
     fresh: np.ndarray
     owner: np.ndarray | None
     width: np.ndarray
+    offset: np.ndarray  # of each step's tokens, and of the end
 
-    def windows(self, settings: Settings) -> Iterator[tuple[int, int, int]]:
-        """Start, stop and width of windows; the fewer lanes are left, the longer, as a step costs as much for few as for many."""
+    def windows(self, settings: Settings) -> Iterator[tuple[np.ndarray, slice]]:
+        """Which places (step, lane) of each window are tokens, and where these lie; the fewer lanes are left, the longer the
+        window, as a step costs as much for few as for many."""
         t = 0
-        while t < len(self.inputs):
+        while t < len(self.width):
             wide = int(self.width[t])
-            stop = min(t + settings.window * min(max(settings.lanes // (4 * wide), 1), 16), len(self.inputs))
-            yield t, stop, wide
+            stop = min(t + settings.window * min(max(settings.lanes // (4 * wide), 1), 16), len(self.width))
+            yield np.arange(wide) < self.width[t:stop, None], slice(int(self.offset[t]), int(self.offset[stop]))
             t = stop
 
-    def input_ranks(self, t: int, stop: int, wide: int) -> np.ndarray:
-        """Ranks of the inputs, which are the targets of the step before."""
-        out = np.full((stop - t, wide), NONE, np.uint32)
-        out[int(t == 0):] = self.ranks[max(t - 1, 0):stop - 1, :wide]
-        out[self.inputs[t:stop, :wide] == BEGIN] = NONE
-        return out
+    def given(self, real: np.ndarray, part: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Inputs, their ranks and starts of documents as (step, lane)."""
+        inputs, ranks, fresh = np.full(real.shape, BEGIN, np.int32), np.full(real.shape, NONE, np.uint32), np.zeros(real.shape, bool)
+        inputs[real], ranks[real], fresh[real] = self.inputs[part], self.input_ranks[part], self.fresh[part]
+        return inputs, ranks, fresh
 
 
 def _lanes(symbols: np.ndarray, ranks: np.ndarray, sizes: np.ndarray, chosen: np.ndarray, lanes: int, owners: bool) -> _Lanes | None:
@@ -489,23 +495,25 @@ def _lanes(symbols: np.ndarray, ranks: np.ndarray, sizes: np.ndarray, chosen: np
         heapq.heappush(heap, (length + int(sizes[doc]), k))
     length = np.array([sum(int(sizes[d]) for d in docs) for docs in held])
     order = np.argsort(-length, kind="stable")
-    steps = int(length[order[0]])
-    inputs, targets = np.full((steps, len(held)), BEGIN, np.uint16), np.zeros((steps, len(held)), np.uint16)
-    laid_ranks = np.full((steps, len(held)), NONE, np.uint32)
-    fresh, owner = np.zeros((steps, len(held)), bool), np.zeros((steps, len(held)), np.int32) if owners else None
+    width = np.searchsorted(np.sort(-length), -np.arange(int(length[order[0]])), "left")
+    offset = np.r_[0, np.cumsum(width)]
+    n_tokens = int(offset[-1])
+    inputs, targets = np.full(n_tokens, BEGIN, np.uint16), np.zeros(n_tokens, np.uint16)
+    input_ranks, laid_ranks = np.full(n_tokens, NONE, np.uint32), np.full(n_tokens, NONE, np.uint32)
+    fresh, owner = np.zeros(n_tokens, bool), np.zeros(n_tokens, np.int32) if owners else None
     for column, k in enumerate(order.tolist()):
         at = 0
         for doc in held[k]:
             n = int(sizes[doc])
-            text = symbols[starts[doc]:starts[doc] + n]
-            targets[at:at + n, column], inputs[at + 1:at + n, column] = text, text[:-1]
-            laid_ranks[at:at + n, column] = ranks[starts[doc]:starts[doc] + n]
-            fresh[at, column] = True
+            text, own = symbols[starts[doc]:starts[doc] + n], ranks[starts[doc]:starts[doc] + n]
+            place = offset[at:at + n] + column
+            targets[place], inputs[place[1:]] = text, text[:-1]
+            laid_ranks[place], input_ranks[place[1:]] = own, own[:-1]
+            fresh[place[0]] = True
             if owners:
-                owner[at:at + n, column] = doc
+                owner[place] = doc
             at += n
-    width = np.searchsorted(np.sort(-length), -np.arange(steps), "left")
-    return _Lanes(inputs, targets, laid_ranks, fresh, owner, np.maximum(width, 1))
+    return _Lanes(inputs, input_ranks, targets, laid_ranks, fresh, owner, width, offset)
 
 
 def train(model: Model, settings: Settings, chunks: Iterator[tuple[np.ndarray, ...]]) -> int:
@@ -538,13 +546,11 @@ def train(model: Model, settings: Settings, chunks: Iterator[tuple[np.ndarray, .
         laid = _lanes(symbols, ranks, sizes, chosen, settings.lanes, owners=False)
         if laid is None:
             continue
-        state = np.zeros((laid.inputs.shape[1], model.h), np.float32)
-        for t, stop, wide in laid.windows(settings):
-            inputs, fresh = laid.inputs[t:stop, :wide].astype(np.int32), laid.fresh[t:stop, :wide]
-            input_ranks = laid.input_ranks(t, stop, wide)
-            hidden, state, kept = model.forward(inputs, input_ranks, fresh, state[:wide], keep=True)
-            real = np.arange(wide) < laid.width[t:stop, None]
-            at, targets, own = hidden[real], laid.targets[t:stop, :wide][real].astype(np.int32), laid.ranks[t:stop, :wide][real]
+        state = np.zeros((laid.width[0], model.h), np.float32)
+        for real, part in laid.windows(settings):
+            inputs, input_ranks, fresh = laid.given(real, part)
+            hidden, state, kept = model.forward(inputs, input_ranks, fresh, state[:real.shape[1]], keep=True)
+            at, targets, own = hidden[real], laid.targets[part].astype(np.int32), laid.ranks[part]
             _, d = model.output(at, targets, gradient.parts)
             tail = np.flatnonzero(own != NONE)
             d[tail] += model.within(at[tail], targets[tail] - HEAD, own[tail], learn=True)[1]
@@ -568,16 +574,14 @@ def log_likelihood(model: Model, settings: Settings, symbols: np.ndarray, ranks:
     laid = _lanes(symbols, ranks, sizes, np.arange(len(sizes)), 2 * settings.lanes, owners=True)
     if laid is None:
         return out
-    state = np.zeros((laid.inputs.shape[1], model.h), np.float32)
-    for t, stop, wide in laid.windows(settings):
-        hidden, state, _ = model.forward(
-            laid.inputs[t:stop, :wide].astype(np.int32), laid.input_ranks(t, stop, wide), laid.fresh[t:stop, :wide], state[:wide], keep=False)
-        real = np.arange(wide) < laid.width[t:stop, None]
-        at, targets, own = hidden[real], laid.targets[t:stop, :wide][real].astype(np.int32), laid.ranks[t:stop, :wide][real]
+    state = np.zeros((laid.width[0], model.h), np.float32)
+    for real, part in laid.windows(settings):
+        hidden, state, _ = model.forward(*laid.given(real, part), state[:real.shape[1]], keep=False)
+        at, targets, own = hidden[real], laid.targets[part].astype(np.int32), laid.ranks[part]
         logp = model.output(at, targets, None)
         tail = np.flatnonzero(own != NONE)
         logp[tail] += model.within(at[tail], targets[tail] - HEAD, own[tail], learn=False)
-        out += np.bincount(laid.owner[t:stop, :wide][real], logp.astype(np.float64), len(sizes))
+        out += np.bincount(laid.owner[part], logp.astype(np.float64), len(sizes))
     return out
 
 

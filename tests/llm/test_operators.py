@@ -525,3 +525,26 @@ def test_one_long_run_of_contamination(spark):
     item = spark.createDataFrame([(5, " ".join(words_))], "item_id long, text string")
     got = {r.doc_id: (r.n_words, r.n_hit, list(r.item_ids)) for r in contamination(frame, item).collect()}
     assert got == {1: (20_000, 20_000, ["5"]), 2: (50, 40, ["5"])}
+
+
+def test_language_model_lays_no_more_places_than_tokens():
+    """One long document beside many short ones: the lanes hold the tokens, not a rectangle as long as the longest lane."""
+    import numpy as np
+
+    from maskwright.llm import gated_model as gm
+
+    sizes = np.r_[5000, np.full(400, 7)]
+    symbols = np.arange(sizes.sum()) % gm.HEAD
+    ranks = np.full(len(symbols), gm.NONE, np.uint32)
+    laid = gm._lanes(symbols, ranks, sizes, np.arange(len(sizes)), 64, owners=True)
+    assert laid.targets.size == laid.inputs.size == laid.owner.size == sizes.sum()
+    assert sorted(laid.targets.tolist()) == sorted(symbols.tolist())
+    assert laid.fresh.sum() == len(sizes)
+    assert np.bincount(laid.owner).tolist() == sizes.tolist()
+    settings = gm.Settings(hidden=4, lanes=64)
+    model = gm.Model(settings)
+    whole = gm.log_likelihood(model, settings, symbols, ranks, sizes)
+    starts = np.cumsum(sizes) - sizes
+    alone = [gm.log_likelihood(model, settings, symbols[a:a + n], ranks[a:a + n], np.array([n]))[0]
+             for a, n in zip(starts[:5].tolist(), sizes[:5].tolist(), strict=True)]
+    assert np.allclose(whole[:5], alone, rtol=1e-4)
