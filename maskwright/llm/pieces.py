@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .cluster import ship
 from .texts import BASE, BASE_INVERSE, U64, byte_hashes, mix, powers, raw, slices
 
-#: Bytes of text whose words walk together.
-TOGETHER = 500_000
+#: Bytes of text whose words share lattices and walk together.
+TOGETHER = 1_000_000
 
 
 def _prefix(data: np.ndarray) -> np.ndarray:
@@ -103,7 +103,7 @@ class Vocabulary:
 
     def decode(self, ids: list[int]) -> str:
         """The text of an encoding; the blank that encoding puts in front is taken off."""
-        return b"".join([self.bytes[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
+        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
 
 
 class Lattice:
@@ -161,8 +161,9 @@ class Lattice:
             edges = by[a:b]
             heads = np.flatnonzero(np.r_[True, np.diff(sorted_node[a:b]) != 0])
             self.below[sorted_node[a:b][heads]] = np.logaddexp.reduceat(score[edges] + self.below[self.to[edges]], heads)
-        #: Log probability of each edge given its node.
+        #: Log probability of each edge given its node, and what the log of a uniform number is multiplied by for it.
         self.logp = score + self.below[self.to] - self.below[node]
+        self.rarity = -np.exp(-self.logp)
 
 
 @dataclass
@@ -174,58 +175,75 @@ class _Walk:
     sibling_word: np.ndarray
     sibling_place: np.ndarray  # pieces before it, in this walk
     sibling_edge: np.ndarray
-    gumbel: np.ndarray
-    best: np.ndarray  # the largest of its node
+    behind: np.ndarray  # its exp(-Gumbel) less that of the best of its node
 
 
 def _walk(lattice: Lattice, word: np.ndarray, node: np.ndarray, seed: np.ndarray) -> _Walk:
-    """From `node` of lattice word `word` to its end, for many; seed: 64 bits for each."""
+    """From `node` of lattice word `word` to its end, for many; seed: 64 bits for each.
+
+    exp(-Gumbel) of an edge is an exponential variable at the rate of its probability; the least is the best. Where one edge
+    leaves a node there is nothing to choose, so it gets none.
+    """
     n = len(word)
     counts = np.zeros(n, np.int64)
     steps: list[tuple[np.ndarray, np.ndarray]] = []
     passed: list[tuple[np.ndarray, ...]] = []
     active = np.flatnonzero(node < lattice.end[word])
-    node = node.copy()
+    at, end = node[active], lattice.end[word[active]]
+    # the seed of a place's edge 0, so that an edge's bits are those of its number in its word
+    base = seed[active] - lattice.first_edge[word[active]].astype(U64) * U64(BASE)
     step = 0
     while len(active):
-        at = node[active]
         low = lattice.first[at]
         many = lattice.first[at + 1] - low
-        head = np.cumsum(many) - many
-        each = np.repeat(np.arange(len(active)), many)
-        edge = np.arange(len(each)) - head[each] + low[each]
-        who = active[each]
-        bits = mix(seed[who] + (edge - lattice.first_edge[word[who]]).astype(U64) * U64(BASE))
-        uniform = ((bits >> U64(11)).astype(np.float64) + 0.5) * 2.0 ** -53
-        value = lattice.logp[edge] - np.log(-np.log(uniform))
-        best = np.maximum.reduceat(value, head)
-        is_best = value == best[each]
-        chosen = np.flatnonzero(is_best)
-        if len(chosen) > len(active):  # equal values: the first edge
-            chosen = chosen[np.r_[True, np.diff(each[chosen]) > 0]]
-            is_best[:] = False
-            is_best[chosen] = True
-        other = ~is_best
-        passed.append((who[other], np.full(int(other.sum()), step), edge[other], value[other], best[each[other]]))
-        steps.append((active, edge[chosen]))
+        edge = low.copy()
+        open_ = np.flatnonzero(many > 1)
+        if len(open_):
+            each = many[open_]
+            head = np.cumsum(each) - each
+            ramp = np.arange(int(head[-1] + each[-1]))
+            choice = np.repeat(low[open_] - head, each)
+            choice += ramp
+            bits = choice.astype(U64)
+            bits *= U64(BASE)
+            bits += np.repeat(base[open_], each)
+            bits = mix(bits)
+            bits >>= U64(11)
+            value = bits.astype(np.float64)
+            value += 0.5
+            value *= 2.0 ** -53
+            np.log(value, out=value)
+            value *= lattice.rarity[choice]
+            least = np.minimum.reduceat(value, head)
+            value -= np.repeat(least, each)
+            chosen = np.flatnonzero(value == 0)
+            if len(chosen) > len(open_):  # equal values: the first edge
+                chosen = chosen[np.searchsorted(chosen, head)]
+            edge[open_] = choice[chosen]
+            other = np.ones(len(value), bool)
+            other[chosen] = False
+            other = np.flatnonzero(other)
+            passed.append((np.repeat(active[open_], each - 1), np.full(len(other), step), choice[other], value[other]))
+        steps.append((active, edge))
         counts[active] += 1
-        node[active] = lattice.to[edge[chosen]]
-        active = active[node[active] < lattice.end[word[active]]]
+        at = lattice.to[edge]
+        left = np.flatnonzero(at < end)
+        active, at, end, base = active[left], at[left], end[left], base[left]
         step += 1
     begin = np.cumsum(counts) - counts
     edges = np.zeros(int(counts.sum()), np.int64)
     for k, (who, edge) in enumerate(steps):
         edges[begin[who] + k] = edge
-    who, place, edge, value, best = (np.concatenate(x) for x in zip(*passed, strict=True)) if passed else (
-        np.zeros(0, np.int64),) * 3 + (np.zeros(0),) * 2
-    return _Walk(counts, edges, who, begin[who] + place, edge, value, best)
+    who, place, edge, behind = (np.concatenate(x) for x in zip(*passed, strict=True)) if passed else (
+        np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
+    return _Walk(counts, edges, who, begin[who] + place, edge, behind)
 
 
-def _truncated(target: np.ndarray, value: np.ndarray, best: np.ndarray) -> np.ndarray:
-    """Gumbel values whose largest was `best`, given that it is `target`."""
-    with np.errstate(divide="ignore"):
-        v = target - value + np.log1p(-np.exp(np.minimum(value - best, 0.0)))
-    return target - np.maximum(v, 0.0) - np.log1p(np.exp(-np.abs(v)))
+def _truncated(target: np.ndarray, behind: np.ndarray) -> np.ndarray:
+    """Gumbel values `behind` the largest of their node (see `_Walk`), given that this is `target`."""
+    with np.errstate(divide="ignore", over="ignore"):
+        value = np.minimum(target, -np.log(behind + np.exp(-target)))
+    return np.where(target < -700, target, value)  # beyond exp(); the others are as far behind as nothing then
 
 
 def _best(group: np.ndarray, value: np.ndarray, groups: int, k: int) -> list[int]:
@@ -296,7 +314,7 @@ def sample(vocabulary: Vocabulary, texts: pa.Array, keys: np.ndarray, k: int) ->
         mine = owner[walk.sibling_word]
         # The log probability before the sibling's node, and what that leaves of the opened node's value.
         at_node = log_before[mine] + total[walk.sibling_place] - total[piece_bounds[mine]]
-        bound = at_node + _truncated(value[mine] - at_node, walk.gumbel, walk.best)
+        bound = at_node + _truncated(value[mine] - at_node, walk.behind)
         # The few best siblings of each text; more can never be opened.
         for j in _best(mine, bound, len(text), k - turn):
             o = int(mine[j])
